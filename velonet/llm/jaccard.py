@@ -7,14 +7,14 @@
    hub of that hash, which joins groups of near copies without emitting pairs.
 3. Tiles: a linked pair must share a shingle among the rarest
    ``n - ceil(t n) + 1`` of either set. Representatives sharing such a shingle
-   but still in different groups meet in a tile of (shingle, size band), in
-   blocks; parity bitmaps, as wide as the band's sets ask for, bound the overlap
+   but still in different groups meet in a tile of (shingle, size band). Tiles of up to ``SMALL`` rows name their
+   pairs, larger ones are compared in blocks; parity bitmaps, as wide as the band's sets ask for, bound the overlap
    from above: ``|A & B| <= (|A| + |B| - popcount(a ^ b)) / 2``.
 4. What survives is settled by intersecting the sorted hash arrays, and the
    links of 2 and 4 make the components.
 
-The frequent-shingle list (at most ``FREQUENT`` entries, the only thing broadcast)
-only orders shingles. Any order gives the same links.
+The frequent-shingle list (at most ``FREQUENT`` entries) only orders shingles; any order gives the same links.
+Besides it only a Bloom filter of fixed size is broadcast, which keeps texts without a candidate out of the shuffle.
 
 Edge cases: null or empty text and texts without words have an empty set
 (``n_shingles`` 0), link with nothing and are their own component. Equal texts are
@@ -30,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from velonet.llm import idfilter
 from velonet.llm import textkit as tk
 from velonet.llm.components import connected_components
 from velonet.llm.store import materialise
 
 FREQUENT = 1 << 16
 STAR_KEYS = 4
-BLOCK = 1024
+BLOCK, SMALL = 1024, 16
 _U = np.uint64
 
 
@@ -203,6 +204,24 @@ def _tiles(percent: int):
     return run
 
 
+def _bounded(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            for i, (x, y) in enumerate(zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist())):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold(x, size).view(np.uint64) ^ fold(y, size).view(np.uint64)).sum())
+                most = (na[i] + nb[i] - apart) // 2
+                keep[i] = 100 * most >= percent * (na[i] + nb[i] - most)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], schema=schema)
+
+    return run
+
+
 def _verified(width: int, lower: bool, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -234,7 +253,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, lower: bool, percent:
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(0).alias("is_hub"))
     hubs = salts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(1).alias("is_hub"))
-    rows = members.unionByName(hubs).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = members.unionByName(hubs)
+    own = idfilter.only(docs, idfilter.build(rows.select("id")))
+    rows = rows.join(own.select(F.col("doc_id").alias("id"), "text"), "id")
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(_verified(width, lower, percent), "a long, b long")
 
 
@@ -262,16 +283,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, lower
 
     prefixes = docs.mapInArrow(_prefixes(width, lower, percent, frequent), "id long, tokens array<long>, bitmap binary")
     prefixes = materialise(prefixes.join(labels, prefixes.id == labels.rep).drop("rep"), "jaccard-prefixes")
-    postings = prefixes.select(F.explode("tokens").alias("token"), "id", "n", "label")
-    live = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    # a pair of the least ratio may lie one band further apart after rounding, hence two bands up
-    rows = postings.join(live, "token").select("*", band.alias("own")).select("*", F.explode(F.array(F.col("own"), F.col("own") + 1, F.col("own") + 2)).alias("band"))
-    tile = rows.groupBy("token", "band").agg(F.min(F.struct("label")).alias("lo"), F.max(F.struct("label")).alias("hi"), F.max(F.expr("own = band")).alias("home")).filter("lo < hi and home").select("token", "band")
-    rows = rows.join(tile, ["token", "band"]).withColumn("visitor", (F.col("own") < F.col("band")).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    rows = rows.join(prefixes.select("id", "bitmap"), "id").select("token", "band", "bi", "bj", "block", "id", "n", "label", "visitor", "bitmap")
-    met = rows.repartition("token", "band", "bi", "bj").sortWithinPartitions("token", "band", "bi", "bj").mapInArrow(_tiles(percent), "a long, b long").distinct()
+    own_band = lambda n: F.floor(F.log(n) / math.log(100 / percent)).cast("int")
+    # a set meets its partners of at least its size in their band: its own or the next (one more should rounding want it)
+    reach = F.sequence(own_band(F.col("n") * 1.0), own_band(F.col("n") * (100.0 / percent) * (1 + 1e-9)))
+    postings = prefixes.select(F.explode("tokens").alias("token"), "id", F.col("n").cast("int").alias("n"), "label")
+    same = Window.partitionBy("token")
+    live = postings.select("*", F.min("label").over(same).alias("lo"), F.max("label").over(same).alias("hi")).filter("lo < hi").drop("lo", "hi")
+    rows = live.select("*", own_band(F.col("n") * 1.0).alias("own"), F.explode(reach).alias("band")).withColumn("visitor", (F.col("own") < F.col("band")).cast("int"))
+    rows = materialise(rows, "jaccard-live")
+    tile = rows.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("visitor").alias("v"), F.count(F.lit(1)).alias("c")).filter("lo < hi and v = 0").select("token", "band", "c")
+
+    few = rows.join(tile.filter(F.col("c") <= SMALL), ["token", "band"]).groupBy("token", "band").agg(F.collect_list(F.struct("id", "n", "label", "visitor")).alias("x"))
+    met = few.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter(f"p.id < q.id and p.label <> q.label and p.visitor + q.visitor < 2 and 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)")
+    met = met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+    maps = prefixes.select("id", "bitmap")
+    met = met.join(maps.select(F.col("id").alias("a"), F.col("bitmap").alias("ma")), "a").join(maps.select(F.col("id").alias("b"), F.col("bitmap").alias("mb")), "b")
+    met = met.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_bounded(percent), "a long, b long")
+
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    large = rows.join(tile.filter(F.col("c") > SMALL), ["token", "band"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    large = large.join(maps, "id").select("token", "band", "bi", "bj", "block", "id", F.col("n").cast("long").alias("n"), "label", "visitor", "bitmap")
+    crowd = large.repartition("token", "band", "bi", "bj").sortWithinPartitions("token", "band", "bi", "bj").mapInArrow(_tiles(percent), "a long, b long")
+    met = met.unionByName(crowd).distinct()
     met = materialise(met, "jaccard-met")
     if not met.isEmpty():
         far = materialise(verify(met, docs, width, lower, percent), "jaccard-far")
