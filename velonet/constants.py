@@ -80,7 +80,7 @@ KIND_LABELS = {
     "venue": "Kulttuuri", "sports": "Liikunta", "park": "Puisto", "school": "Oppilaitos", "hospital": "Terveys",
     "nature": "Luonto", "hotel": "Majoitus", "office": "Toimisto", "shop": "Kauppa", "service": "Palvelu",
 }
-DEFAULT_LABEL, STREET_LABEL, ROAD_LABEL = "Paikka", "Katu", "Tie"
+DEFAULT_LABEL, DOOR_LABEL, STREET_LABEL, ROAD_LABEL = "Paikka", "Osoite", "Katu", "Tie"
 
 # Letters of the profile token, and the range each number may have.
 TASTE_CODES = {"turn": "t", "signal": "g", "unpaved": "u", "shared": "j", "traffic": "c", "sidepath": "d", "network": "n", "hill": "h", "barrier": "b", "lit": "v", "winter": "w"}

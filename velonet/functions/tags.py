@@ -114,7 +114,7 @@ def poi_kind(tags: Column) -> Column:
 def names_of(tags: Column) -> Column:
     """Every name, primary first: split at semicolons, trimmed, without empties or repeats."""
     parts = F.flatten(F.array(*(F.split(F.coalesce(tags[k], F.lit("")), ";", -1) for k in C.NAME_KEYS)))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def notability(tags: Column) -> Column:

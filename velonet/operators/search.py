@@ -87,9 +87,9 @@ def search(queries: DataFrame, places: DataFrame, streets_: DataFrame, doors: Da
     met = met.withColumn("k4", nth).filter(F.col("k4") <= F.when(number == "", 1).otherwise(limit))
     door = F.col("number").isNotNull()
     plain = F.when(F.col("doors") > 0, C.STREET_LABEL).otherwise(C.ROAD_LABEL)
-    # without a number the street itself is offered at its first door; with one, the doors
-    label = F.when(door & (number != ""), text.door_label(F.col("street"), F.col("number"))).otherwise(F.col("street"))
-    street_hits = met.select("query", "cls", F.lit(0).alias("k1"), "k2", F.lit(0).cast("long").alias("k3"), "k4", label.alias("label"), F.when(door & (number != ""), "").otherwise(plain).alias("detail"), F.coalesce("d_lon", "s_lon").alias("lon"), F.coalesce("d_lat", "s_lat").alias("lat"), F.col("street").alias("k5"))
+    # one door per street without a number; where no door fits, the street itself
+    label = F.when(door & (F.col("number") != ""), text.door_label(F.col("street"), F.col("number"))).otherwise(F.col("street"))
+    street_hits = met.select("query", "cls", F.lit(0).alias("k1"), "k2", F.lit(0).cast("long").alias("k3"), "k4", label.alias("label"), F.when(door, C.DOOR_LABEL).otherwise(plain).alias("detail"), F.coalesce("d_lon", "s_lon").alias("lon"), F.coalesce("d_lat", "s_lat").alias("lat"), F.col("street").alias("k5"))
     both = place_hits.withColumn("k5", F.lit("")).unionByName(street_hits)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("cls", "k1", "k2", "k5", "k3", "k4"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query", "rank", "cls", "label", "detail", "lon", "lat")

@@ -409,7 +409,7 @@ ph as (select query, case when f = q then 0 when starts_with(f, q) then 2 else 4
 sh as (select query, num, street, f, lon, lat, starts_with(f, q) as pre, coalesce(sum(case when starts_with(f, q) then 1 else 0 end) over (partition by query order by street rows between unbounded preceding and 1 preceding), 0) as hits from asked join street on contains(f, q)),
 dh as (select s.query, s.num, s.street, s.f, s.pre, s.lon as slon, s.lat as slat, a.number, a.lon, a.lat, row_number() over (partition by s.query, s.street order by a.number) as k4
        from sh s left join address a on a.street = s.street and (s.num = '' or starts_with(a.number, s.num)) where s.hits < 200),
-st as (select query, case when pre then 1 else 3 end as cls, 0 as k1, length(f) as k2, street as k5, 0 as k3, k4, case when num <> '' and number is not null then street || ' ' || number else street end as label, coalesce(lon, slon) as lon, coalesce(lat, slat) as lat from dh where k4 <= case when num = '' then 1 else 7 end),
+st as (select query, case when pre then 1 else 3 end as cls, 0 as k1, length(f) as k2, street as k5, 0 as k3, k4, case when number is not null then street || ' ' || number else street end as label, coalesce(lon, slon) as lon, coalesce(lat, slat) as lat from dh where k4 <= case when num = '' then 1 else 7 end),
 hit as (select *, row_number() over (partition by query order by cls, k1, k2, k5, k3, k4) as rank from (select * from ph union all select * from st))"""
 
 
