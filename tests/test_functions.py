@@ -108,3 +108,9 @@ def test_edge_seconds_and_taste(spark):
 def test_taste_is_held_above_zero():
     assert K.Taste({"traffic": 0.0})["traffic"] == C.LEAST_MULTIPLIER
     assert K.heuristic_floor(K.Taste({"traffic": 0.05})) >= 0
+
+
+def test_stored_numbers_are_range_checked(spark):
+    got = values(spark, [profile.in_range("speed", F.lit(50.0)), profile.in_range("speed", F.lit(18.0)), profile.in_range("turn", F.lit(0.01)), profile.in_range("slow_speed_factor", F.lit(0.5))])
+    assert list(got) == [None, 18.0, None, 0.5]
+    assert profile.stops_table(spark).filter("standard").count() == 11

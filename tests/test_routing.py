@@ -191,3 +191,13 @@ def test_turn_table_counts_turning_back_as_left(spark):
     edges, _ = build(spark, {0: (0, 0), 1: (4, 0), 2: (8, 0)}, [(0, 1, {}), (1, 2, {})])
     t = network.turn_table(network.directed_states(edges), network.degrees(edges)).collect()
     assert all(r.swing == -180 for r in t if r.from_state // 2 == r.to_state // 2)
+
+
+def test_height_profile_runs_along_the_route(spark):
+    edges, nodes = g = build(spark, {0: (0, 0), 1: (10, 0), 2: (20, 0)}, [(0, 1, {}), (2, 1, {})])
+    rolled, paths, states = run(spark, g, [(0, 2)])
+    node_h = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, None)], "node long, height double")
+    shape = spark.createDataFrame([(0, 0, 1.5), (1, 0, 9.0), (1, 1, 8.0)], "edge_id long, pos int, height double")
+    got = [(round(r.dist, 3), r.height) for r in routing.height_profile(paths, states, node_h, shape).orderBy("dist").collect()]
+    m = rolled[0, 1].metres / 2
+    assert got == [(0.0, 1.0), (round(m / 2, 3), 1.5), (round(m, 3), 2.0), (round(m + m / 3, 3), 8.0), (round(m + 2 * m / 3, 3), 9.0)]

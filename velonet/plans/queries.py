@@ -321,6 +321,24 @@ def sweep_reprice(d):
     return one.select("hops", "metres", F.explode(rows).alias("x")).select("x.kmh", "hops", "metres", "x.minutes")
 
 
+@query()
+def trip_usage(d):
+    """Usage of edges by the routes of all trips."""
+    paths, _ = _routed(d, 1)
+    return evaluate.usage(paths.filter("pos >= 0").select(F.floor(F.col("state") / 2).alias("edge")))
+
+
+@query(f"""
+, pair as (select p.point, n.node, n.lon, n.lat, {_distance("p.lon", "p.lat", "n.lon", "n.lat")} as m from register p, node n),
+near as (select * from (select *, row_number() over (partition by point order by m, node) as k from pair) where k = 1),
+inc as (select n.point, e.edge_id, least(n.m, {_distance("p.lon", "p.lat", "o.lon", "o.lat")}) as m from near n join edge e on n.node in (e.a, e.b) join node o on o.node = case when e.a = n.node then e.b else e.a end join register p on p.point = n.point),
+best as (select *, row_number() over (partition by point order by m, edge_id) as k from inc where m < 40)
+select point, edge_id, round(m, 3) as metres from best where k = 1""")
+def counter_edges(d):
+    found = evaluate.counter_edges(d.register.select(F.col("point").alias("counter"), "lon", "lat"), d.node, d.edge)
+    return found.select(F.col("counter").alias("point"), "edge_id", r("metres").alias("metres"))
+
+
 # -- places
 
 
