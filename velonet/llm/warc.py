@@ -197,7 +197,7 @@ def _attached(records: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture, type, target, payload fields of its own, ``refers_to``, ``request`` (struct) and ``metadata`` (array)."""
+    """One row per capture: capture, type, target, payload fields of its own, ``refers_to``, ``request`` (struct, of several the least record id) and ``metadata`` (array)."""
     linked = _attached(records)
     body = F.struct("record_id", "target", "payload_bytes", "payload_digest", "payload")
     request = linked.join(records.filter("type = 'request'"), "record_id").groupBy("capture").agg(F.min(body).alias("request"))
