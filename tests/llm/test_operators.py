@@ -246,13 +246,13 @@ def test_alignment_equals_plain_smith_waterman():
 
 def test_decontamination(spark):
     rng = random.Random(7)
-    vocab = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(3000)]
+    vocab = ["".join(rng.choices(string.ascii_lowercase + "ñéü", k=5)) for _ in range(3000)]
     text = lambda k: rng.choices(vocab, k=k)
     item = text(40)
     edited = list(item)
     for i in (5, 14, 23, 32):
         edited[i] = "changed"
-    rows = [text(300), text(100) + item + text(50), text(10) + edited + text(10), text(20) + item[:12] + text(200), [w.capitalize() + "," for w in item], [], text(500)]
+    rows = [text(300), text(100) + item + text(50), text(10) + edited + text(10), text(20) + item[:12] + text(200), [w.upper() + "," for w in item], [], text(500)]
     texts = [" ".join(r) for r in rows] + [None]
     items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "short one"), (5, " ".join(item))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), items).collect()}

@@ -11,7 +11,7 @@
 The seeds are broadcast while they are at most ``MAX_SEEDS`` (16 bytes each); beyond that the
 benchmark is scanned in blocks of items, one pass over the documents each.
 
-Words are lower-cased (A-Z) and split at ASCII white space; ASCII punctuation at either end
+Words are lower-cased (in any script) and split at ASCII white space; ASCII punctuation at either end
 of a word is dropped before hashing. Edge cases: null or empty texts and items match
 nothing. Items with fewer words than a seed are matched as a whole. Repeated items
 are each reported. Empty tables give an empty table. Extra columns are ignored.
@@ -32,9 +32,14 @@ from velonet.llm.store import materialise
 SEED, RARE, MAX_SEEDS, LEAST = 4, 8, 1 << 20, 0.55
 _U = np.uint64
 
+def folded_words(texts: list[bytes]) -> tuple[tk.Words, np.ndarray]:
+    """Words and hashes without case (of any script) and outer punctuation."""
+    return tk.plain_words([t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts])
+
+
 def item_seeds(items: list[tuple[int, bytes]], seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(seed hash, item) pairs and the word hashes of each item."""
-    w, h = tk.plain_words([t for _, t in items])
+    w, h = folded_words([t for _, t in items])
     words = [h[f : f + n] for f, n in zip(w.first, w.count)]
     gram, at = w.grams(h, seed)
     doc = w.doc[at]
@@ -83,7 +88,7 @@ def _hits(seed: int, box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, lengths = box.value
         for batch, texts in tk.groups(batches):
-            w, h = tk.plain_words(texts)
+            w, h = folded_words(texts)
             out = []
             for n in lengths:
                 gram, at = w.grams(h, n)
@@ -122,7 +127,7 @@ def _aligned(box, least: float):
         items = box.value
         known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         for batch, texts in tk.groups(batches):
-            w, h = tk.plain_words(texts)
+            w, h = folded_words(texts)
             rows = []
             ids = batch.column("doc_id").to_pylist()
             for d, seeds in enumerate(batch.column("seeds").to_pylist()):
