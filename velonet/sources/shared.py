@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -26,3 +27,15 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def on_worker_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever the working directory.
+
+    On a cluster the package is installed or shipped; a path that an executor doesn't have is ignored there.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([here, *parts])
