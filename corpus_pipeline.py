@@ -6,11 +6,14 @@ as their operators state; an empty table stays empty; extra columns are kept by
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velonet.llm import bpe, decontam, jaccard, linededup, store, toxicity
 from velonet.llm.queries import vocabulary
+from velonet.sources.shared import on_worker_path
 
 #: None: no stage but the second can be said in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -48,7 +51,16 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, vocabulary(), keep=tuple(keep)), vocabulary(), keep_ids=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_leaks), ("byte-level BPE", tokenise)]
+def _ready(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        on_worker_path(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("toxicity", _ready(drop_toxic)), ("line dedup", _ready(drop_lines)), ("n-gram Jaccard join", _ready(drop_near_copies)), ("benchmark decontamination", _ready(drop_leaks)), ("byte-level BPE", _ready(tokenise))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
