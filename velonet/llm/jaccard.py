@@ -264,8 +264,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, lower
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     found = materialise(docs.mapInArrow(_signatures(width, lower), "doc_id long, n long, f1 long, f2 long, keys array<long>, hot array<long>, hot_n array<long>"), "jaccard-sets")
-    hot = found.filter("size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("c")).orderBy(F.desc("c"), "hot").limit(FREQUENT).collect()
-    value, rank = np.array([r.hot for r in hot], np.int64).view(_U), np.arange(len(hot), 0, -1)
+    hot = found.filter("size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("c")).orderBy(F.desc("c"), "hot").limit(FREQUENT).toArrow()
+    value, rank = np.array(hot["hot"], np.int64).view(_U), np.arange(len(hot), 0, -1)
     order = np.argsort(value)
     frequent = spark.sparkContext.broadcast((value[order], rank[order]))
 
