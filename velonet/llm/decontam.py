@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Seeds are the ``seed``-word grams of the test items. One scan counts in how many
-   documents each occurs, and writes where.
-2. Of each item, seeds at most ``RARE`` times as frequent as its rarest seed are used, so every item
-   keeps its rarest ones whatever the corpus is like. They join passages to items.
-3. The passage around the seeds is aligned with the whole item by Smith-Waterman over words
+1. Seeds are the ``seed``-word grams of the test items. One scan finds, for each document, the items
+   with which it shares a seed, however frequent the seed is, and where.
+2. The passages around all of a pair's seeds are aligned with the whole item by Smith-Waterman over words
    (match +2, mismatch -1, gap -1). The score is the alignment's share of the
-   item's own (2 a word): 1 for a verbatim copy, and falling with each edit.
+   item's own (2 a word): 1 for a verbatim copy, and falling with each edit. A passage with so few of the
+   item's words that it can't reach ``least`` is not aligned.
 
-The seeds are broadcast while they are at most ``MAX_SEEDS`` (16 bytes each); beyond that the
-benchmark is scanned in blocks of items, one pass over the documents each.
+The seeds are broadcast while they are at most ``MAX_SEEDS`` (16 bytes each, and 8 an item that holds
+one); beyond that the benchmark is scanned in blocks of items, one pass over the documents each. Nothing is shuffled.
 
 Words are lower-cased (in any script) and split at ASCII white space; ASCII punctuation at either end
 of a word is dropped before hashing. Edge cases: null or empty texts and items match
@@ -27,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velonet.llm import textkit as tk
-from velonet.llm.store import materialise
 
-SEED, RARE, MAX_SEEDS, LEAST = 4, 8, 1 << 20, 0.55
+SEED, MAX_SEEDS, LEAST = 4, 1 << 20, 0.55
 _U = np.uint64
 
 def folded_words(texts: list[bytes]) -> tuple[tk.Words, np.ndarray]:
@@ -82,84 +80,72 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _hits(seed: int, box):
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int32()))])
+def windows(at: np.ndarray, item: int, words: int) -> list[tuple[int, int]]:
+    """Passages around the seeds of an item, two item lengths to either side; those that overlap are one."""
+    at = np.sort(at)
+    a, b = np.maximum(at - 2 * item, 0), np.minimum(at + 2 * item, words)
+    new = np.flatnonzero(a[1:] > b[:-1]) + 1
+    return list(zip(a[np.append(0, new)].tolist(), b[np.append(new - 1, len(at) - 1)].tolist()))
+
+
+def _aligned(box, least: float):
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, lengths = box.value
+        seeds, first, owner, lengths, items = box.value
+        known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+
+        def best_of(k: int, own: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
+            item, best = items[k][1], (0, 0, 0)
+            for a, b in windows(at, len(item), len(own)):
+                for p in range(a, b, 1 << 14):  # long stretches in pieces that overlap by two items
+                    q = min(b, p + (1 << 14) + 2 * len(item))
+                    # each match takes one word of the piece, so this many bound its score
+                    if np.isin(own[p:q], item).sum() / len(item) >= least:
+                        key = (k, own[p:q].tobytes())
+                        if key not in known:
+                            if len(known) > 20_000:
+                                known.clear()
+                            known[key] = align(item, own[p:q])
+                        s, x, y = known[key]
+                        if s > best[0]:
+                            best = (s, p + x, p + y)
+                    if q == b:
+                        break
+            return best
+
         for batch, texts in tk.groups(batches):
             w, h = folded_words(texts)
-            out = []
+            ids, rows, found = np.asarray(batch.column("doc_id")), [], []
             for n in lengths:
                 gram, at = w.grams(h, n)
                 if len(gram):
                     spot = np.minimum(np.searchsorted(seeds, gram), len(seeds) - 1)
                     hit = np.flatnonzero(seeds[spot] == gram)
-                    out.append((gram[hit], at[hit]))
-            gram, at = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, _U), np.zeros(0, np.int64))
+                    found.append((spot[hit], at[hit]))
+            spot, at = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             doc = w.doc[at]
-            order = np.lexsort((at, gram, doc))
-            gram, at, doc = gram[order], at[order], doc[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            ids = np.asarray(batch.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[first]]), pa.array(tk.signed(gram[first])), tk.packed_lists((at - w.first[doc]).astype(np.int32), np.diff(np.append(first, len(gram))), pa.int32())], schema=schema)
-
-    return run
-
-
-def _aligned(box, least: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())])
-
-    def windows(at: list[int], item: int, words: int) -> list[tuple[int, int]]:
-        """Passages of one item's length around its seeds; those that overlap are one."""
-        out: list[list[int]] = []
-        for x in sorted(at):
-            a, b = max(0, x - 2 * item), min(words, x + 2 * item)
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(b, out[-1][1])
-            else:
-                out.append([a, b])
-        return [(a, b) for a, b in out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = box.value
-        known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        for batch, texts in tk.groups(batches):
-            w, h = folded_words(texts)
-            rows = []
-            ids = batch.column("doc_id").to_pylist()
-            for d, seeds in enumerate(batch.column("seeds").to_pylist()):
+            order = np.lexsort((spot, doc))
+            spot, at, doc = spot[order], at[order], doc[order]
+            for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []:
+                d = doc[part[0]]
                 own = h[w.first[d] : w.first[d] + w.count[d]]
-                by: dict[int, set[int]] = {}
-                for s in seeds:
-                    by.setdefault(s["item"], set()).update(s["at"])
-                for k, at in sorted(by.items()):
-                    item_id, item = items[k]
-                    best = (0, 0, 0)
-                    for a, b in windows(list(at), len(item), len(own)):
-                        for p in range(a, b, 1 << 14):  # long stretches in pieces that overlap by two items
-                            q = min(b, p + (1 << 14) + 2 * len(item))
-                            key = (k, own[p:q].tobytes())
-                            if key not in known:
-                                if len(known) > 20_000:
-                                    known.clear()
-                                known[key] = align(item, own[p:q])
-                            s, x, y = known[key]
-                            if s > best[0]:
-                                best = (s, p + x, p + y)
-                            if q == b:
-                                break
-                    score = best[0] / (2 * len(item))
+                by: dict[int, list[np.ndarray]] = {}  # where the document holds the seeds of each item
+                for same in np.split(part, np.flatnonzero(np.diff(spot[part])) + 1):
+                    places, s = at[same] - w.first[d], spot[same[0]]
+                    for k in owner[first[s] : first[s + 1]].tolist():
+                        by.setdefault(k, []).append(places)
+                for k, places in sorted(by.items()):
+                    best = best_of(k, own, np.concatenate(places))
+                    score = best[0] / (2 * len(items[k][1]))
                     if score >= least:
-                        rows.append((ids[d], item_id, round(score, 6), best[1], best[2]))
+                        rows.append((ids[d], items[k][0], round(score, 6), best[1], best[2]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = LEAST, rare: int = RARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, begin, end): aligned word spans of items in documents, with score of ``least`` or more."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
@@ -169,23 +155,18 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, least: flo
     out = None
     for k in range(blocks):
         own = [(r.item_id, r.text.encode()) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").toLocalIterator()]
-        part = _block(spark, docs, own, seed, least, rare)
+        part = _block(spark, docs, own, seed, least)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _block(spark, docs: DataFrame, items: list[tuple[int, bytes]], seed: int, least: float, rare: int) -> DataFrame:
+def _block(spark, docs: DataFrame, items: list[tuple[int, bytes]], seed: int, least: float) -> DataFrame:
     kind = "doc_id long, item_id long, score double, begin long, end long"
     gram, item, words = item_seeds(items, seed)
     if not len(gram):
         return spark.createDataFrame([], kind)
     lengths = sorted({seed, *(len(x) for x in words if 0 < len(x) < seed)})
-    hits = materialise(docs.mapInArrow(_hits(seed, spark.sparkContext.broadcast((np.unique(gram), lengths))), "doc_id long, h long, at array<int>"), "seeds")
-    seen = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    pairs = spark.createDataFrame(sorted({(int(g), int(i)) for g, i in zip(tk.signed(gram), item)}), "h long, item int")
-    used = seen.join(pairs, "h")
-    floor = used.groupBy("item").agg(F.min("df").alias("least"))
-    used = used.join(floor, "item").filter(F.col("df") <= F.greatest(F.lit(8), rare * F.col("least"))).select("h", "item")
-    found = hits.join(used, "h").groupBy("doc_id").agg(F.collect_list(F.struct("item", "at")).alias("seeds"))
-    box = spark.sparkContext.broadcast([(i, x) for (i, _), x in zip(items, words)])
-    return docs.join(found, "doc_id").repartition("doc_id").mapInArrow(_aligned(box, least), kind)
+    pairs = np.unique(np.stack([gram, item.astype(_U)]), axis=1)  # by seed, then item
+    seeds, first = np.unique(pairs[0], return_index=True)
+    box = spark.sparkContext.broadcast((seeds, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64), lengths, [(i, x) for (i, _), x in zip(items, words)]))
+    return docs.mapInArrow(_aligned(box, least), kind)
