@@ -115,11 +115,13 @@ def plain_words(texts: list[bytes]) -> tuple[Words, np.ndarray]:
     w = Words(texts)
     if len(w.start):
         begin, end = w.start.copy(), w.end.copy()
-        for _ in range(3):  # up to three marks at either end
-            more = (begin < end - 1) & _EDGE[w.raw[begin]]
-            begin[more] += 1
-            more = (end > begin + 1) & _EDGE[w.raw[end - 1]]
-            end[more] -= 1
+        # from the first to the last place that is no mark; of punctuation alone the middle byte stays
+        place = np.arange(len(w.raw))
+        inner = w.is_word & ~_EDGE[w.raw]
+        first = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][begin]
+        last = np.maximum.accumulate(np.where(inner, place, -1))[end - 1]
+        alone = first >= end
+        begin, end = np.where(alone, (begin + end) // 2, first), np.where(alone, (begin + end) // 2, last) + 1
         w.start, w.end = begin, end
         inner = np.zeros(len(w.raw) + 1, np.int8)
         inner[begin] += 1
