@@ -107,7 +107,7 @@ from documents d left join s on d.doc_id = s.doc_id
 def op7_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best other documents for each document whose doc_id is divisible by 20."""
     docs = table(spark, sf_dir, "documents")
-    return bm25.search(docs, docs.filter("doc_id % 20 = 0"), k=10)
+    return bm25.search(docs, docs.filter("doc_id % 20 = 0"), k=10, own=True)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
