@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 17
+SLICE = 256
 _U = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -137,16 +138,20 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches, each with at most GROUP_BYTES of text or one document."""
-    for batch in batches:
-        texts = byte_texts(batch.column(text))
-        begin, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > GROUP_BYTES:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t) + 1
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):  # the texts of a batch become Python objects by slices
+            batch = whole.slice(at, SLICE)
+            texts = byte_texts(batch.column(text))
+            begin, size = 0, 0
+            for i, t in enumerate(texts):
+                if size and size + len(t) > GROUP_BYTES:
+                    yield batch.slice(begin, i - begin), texts[begin:i]
+                    begin, size = i, 0
+                size += len(t) + 1
+            if begin < len(texts):
+                yield batch.slice(begin), texts[begin:]
+    _tables.clear()
+    pa.default_memory_pool().release_unused()  # a worker lives on for the next stages
 
 
 def packed_lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
