@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Only (node, smaller node) pairs move; each round is written to the shared folder,
+Only (node, smaller node) pairs move; each round is written to the shared folder and replaces the one before,
 and the driver sees one count and one checksum a round.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velonet.llm.store import materialise
+from velonet.llm.store import Rounds
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Self-edges, repeated edges and either direction are fine; an empty input gives an empty table.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now = materialise(now, "cc")
+    rounds = Rounds("cc")
+    now = rounds.write(now)
     before = None
     for _ in range(max_rounds):
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -30,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
-        now = materialise(small.filter("u <> v").distinct(), "cc")
+        now = rounds.write(small.filter("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
