@@ -1,28 +1,30 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. Seeds are the ``seed``-word grams of the test items. One scan finds, for each document, the items
-   with which it shares a seed, however frequent the seed is, and where.
-2. The passages around all of a pair's seeds are aligned with the whole item by Smith-Waterman over words
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. Seeds are the word pairs of the test items (single words for items too short to promise a pair). One scan finds, for
+   each document, the items with which it shares seeds, and where.
+2. A copy that scores ``least`` can have lost only so many of its item's pairs (an edit costs at least as many points as it
+   breaks pairs), and is only so long. A stretch of a document with fewer of an item's seeds is no candidate, so frequent
+   pairs alone lead nowhere; nor is one with too few of the item's words.
+3. The other stretches are aligned with the whole item by Smith-Waterman over words
    (match +2, mismatch -1, gap -1). The score is the alignment's share of the
-   item's own (2 a word): 1 for a verbatim copy, and falling with each edit. A passage with so few of the
-   item's words that it can't reach ``least`` is not aligned.
+   item's own (2 a word): 1 for a verbatim copy, and falling with each edit.
 
-A copy without ``seed`` of the item's words in a row is not found, though it may score above ``least``: one
-of 40 words with every fourth replaced scores 0.64, one with a word put in after every third about 0.84.
-Grams of two words (one for items of up to ten) would find every such copy at 0.55.
+Both bounds are exact, so the result is that of aligning every document with every item.
 
-The seeds are broadcast while they are at most ``MAX_SEEDS`` (16 bytes each, and 8 an item that holds
-one); beyond that the benchmark is scanned in blocks of items, one pass over the documents each. Nothing is shuffled.
+The seeds are broadcast while they are at most ``MAX_SEEDS`` (16 bytes each, and 24 for each word of an item);
+beyond that the benchmark is scanned in blocks of items, one pass over the documents each. Nothing is shuffled.
 
 Words are lower-cased (in any script) and split at ASCII white space; ASCII punctuation at either end
 of a word is dropped before hashing. Edge cases: null or empty texts and items match
-nothing. Items with fewer words than a seed are matched as a whole. Repeated items
+nothing; rows with a null id go. Repeated items and repeated documents
 are each reported. Empty tables give an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from velonet.llm import textkit as tk
 
-SEED, MAX_SEEDS, LEAST = 4, 1 << 20, 0.55
+MAX_SEEDS, LEAST = 1 << 20, 0.55
+#: Bytes of passages whose alignments a task remembers.
+MEMO = 1 << 24
 _U = np.uint64
 
 def folded_words(texts: list[bytes]) -> tuple[tk.Words, np.ndarray]:
@@ -39,23 +43,52 @@ def folded_words(texts: list[bytes]) -> tuple[tk.Words, np.ndarray]:
     return tk.plain_words([t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts])
 
 
-def item_seeds(items: list[tuple[int, bytes]], seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(seed hash, item) pairs and the word hashes of each item."""
-    w, h = folded_words([t for _, t in items])
-    words = [h[f : f + n] for f, n in zip(w.first, w.count)]
-    gram, at = w.grams(h, seed)
-    doc = w.doc[at]
-    for i, x in enumerate(words):  # shorter items: one gram of their own length
-        if 0 < len(x) < seed:
-            gram, doc = np.append(gram, short_gram(x)), np.append(doc, i)
-    return gram, doc, words
-
-
-def short_gram(x: np.ndarray) -> np.uint64:
-    total = np.zeros(1, _U)
-    for v in x:
-        total = total * _U(0xD6E8FEB86659FD93) + v
-    return tk.mix(total ^ _U(len(x)))[0]
+def promised(words: int, least: float) -> tuple[int, int, int]:
+    """(n, seeds, span): a copy of an item of ``words`` words that scores ``least`` keeps ``seeds`` of its n-word seeds, within ``span`` words.
+
+    Of the 2 points a word, 2 words (1 - least) may be lost. A changed or missing word costs 3 (2 at the ends) and breaks two pairs,
+    an inserted one costs 1 and breaks one, so no point breaks more than one pair.
+    """
+    lost = int(2 * words * (1 - least) + 1e-9)
+    pairs = words - 1 - lost
+    return (2, pairs, words + lost) if pairs >= 1 else (1, max(1, math.ceil(words * least - 1e-9)), words + lost)
+
+
+@dataclass
+class Items:
+    """Items by number: ids, word hashes, their seeds, and how often each holds each of its words."""
+
+    ids: np.ndarray
+    words: list[np.ndarray]
+    need: np.ndarray
+    span: np.ndarray
+    seeds: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    lengths: list[int]
+    vocabulary: np.ndarray
+    held: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[int, bytes]], least: float) -> Items:
+        w, h = folded_words([t for _, t in items])
+        words = [h[f : f + n] for f, n in zip(w.first, w.count)]
+        rule = np.array([promised(len(x), least) for x in words], np.int64).reshape(-1, 3)
+        gram, own = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for n in (1, 2):
+            g, at = w.grams(h, n)
+            mine = rule[w.doc[at], 0] == n
+            gram.append(g[mine])
+            own.append(w.doc[at[mine]])
+        pairs = np.unique(np.stack([np.concatenate(gram), np.concatenate(own).astype(_U)]), axis=1)  # by seed, then item
+        seeds, first = np.unique(pairs[0], return_index=True)
+        vocabulary, number = np.unique(h, return_inverse=True)
+        held, times = np.unique(w.doc * len(vocabulary) + number, return_counts=True)
+        return cls(np.array([i for i, _ in items], np.int64), words, rule[:, 1], rule[:, 2], seeds, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64), sorted({*rule[w.count > 0, 0].tolist()}), vocabulary, held, times)
+
+    def __len__(self) -> int:
+        return len(self.seeds)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -84,73 +117,110 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def windows(at: np.ndarray, item: int, words: int) -> list[tuple[int, int]]:
-    """Passages around the seeds of an item, two item lengths to either side; those that overlap are one."""
-    at = np.sort(at)
-    a, b = np.maximum(at - 2 * item, 0), np.minimum(at + 2 * item, words)
-    new = np.flatnonzero(a[1:] > b[:-1]) + 1
-    return list(zip(a[np.append(0, new)].tolist(), b[np.append(new - 1, len(at) - 1)].tolist()))
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _places(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+
+
+def candidates(x: Items, w: tk.Words, h: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """(document, item, begin, end) of the stretches that neither bound rules out, in order; words counted from the document's first."""
+    none = (np.zeros(0, np.int64),) * 4
+    item, at = [], []
+    for n in x.lengths:
+        gram, place = w.grams(h, n)
+        if len(gram):
+            spot = np.minimum(np.searchsorted(x.seeds, gram), len(x.seeds) - 1)
+            hit = np.flatnonzero(x.seeds[spot] == gram)
+            begin, size = x.first[spot[hit]], x.first[spot[hit] + 1] - x.first[spot[hit]]
+            item.append(x.owner[_places(begin, size)])
+            at.append(np.repeat(place[hit], size))
+    if not item or not sum(map(len, item)):
+        return none
+    item, at = np.concatenate(item), np.concatenate(at)
+    doc = w.doc[at]
+    at -= w.first[doc]
+    order = np.lexsort((at, item, doc))
+    doc, item, at = doc[order], item[order], at[order]
+    # the promised number of seeds, from this one on, within a copy's greatest length
+    last = np.minimum(np.arange(len(at)) + x.need[item] - 1, len(at) - 1)
+    near = (np.arange(len(at)) + x.need[item] <= len(at)) & (doc[last] == doc) & (item[last] == item) & (at[last] - at < x.span[item])
+    doc, item, at, last = doc[near], item[near], at[near], at[last[near]]
+    if not len(doc):
+        return none
+    begin, end = np.maximum(last + 1 - x.span[item], 0), np.minimum(at + x.span[item], w.count[doc])
+    # those that begin close to each other are one stretch
+    first = _runs(doc, item, at // x.span[item])
+    doc, item, begin, end = doc[first], item[first], begin[first], end[np.append(first[1:], len(doc)) - 1]
+    # words of the item that occur in the stretch
+    size = end - begin
+    word = h[_places(w.first[doc] + begin, size)]
+    spot = np.minimum(np.searchsorted(x.vocabulary, word), len(x.vocabulary) - 1)
+    known = x.vocabulary[spot] == word
+    seen = np.unique(np.repeat(np.arange(len(doc)), size)[known] * len(x.vocabulary) + spot[known])
+    which, number = seen // len(x.vocabulary), seen % len(x.vocabulary)
+    key = item[which] * len(x.vocabulary) + number
+    spot = np.minimum(np.searchsorted(x.held, key), len(x.held) - 1)
+    own = np.bincount(which, np.where(x.held[spot] == key, x.times[spot], 0), len(doc))
+    keep = own >= least * np.array([len(v) for v in x.words])[item] - 1e-9
+    doc, item, begin, end = doc[keep], item[keep], begin[keep], end[keep]
+    if not len(doc):
+        return none
+    # stretches that overlap are one
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], item[first], begin[first], end[np.append(first[1:], len(doc)) - 1]
 
 
 def _aligned(box, least: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, first, owner, lengths, items = box.value
+        x: Items = box.value
         known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-
-        def best_of(k: int, own: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
-            item, best = items[k][1], (0, 0, 0)
-            for a, b in windows(at, len(item), len(own)):
-                for p in range(a, b, 1 << 14):  # long stretches in pieces that overlap by two items
-                    q = min(b, p + (1 << 14) + 2 * len(item))
-                    # each match takes one word of the piece, so this many bound its score
-                    if np.isin(own[p:q], item).sum() / len(item) >= least:
-                        key = (k, own[p:q].tobytes())
-                        if key not in known:
-                            if len(known) > 20_000:
-                                known.clear()
-                            known[key] = align(item, own[p:q])
-                        s, x, y = known[key]
-                        if s > best[0]:
-                            best = (s, p + x, p + y)
-                    if q == b:
-                        break
+        size = 0
+
+        def best_of(k: int, passage: np.ndarray) -> tuple[int, int, int]:
+            nonlocal size
+            item, best = x.words[k], (0, 0, 0)
+            for p in range(0, len(passage), 1 << 14):  # long stretches in pieces that overlap by a copy's greatest length
+                q = min(len(passage), p + (1 << 14) + int(x.span[k]))
+                key = (k, passage[p:q].tobytes())
+                if key not in known:
+                    if size > MEMO:
+                        known.clear()
+                        size = 0
+                    size += len(key[1]) + 200
+                    known[key] = align(item, passage[p:q])
+                s, a, b = known[key]
+                if s > best[0]:
+                    best = (s, p + a, p + b)
+                if q == len(passage):
+                    break
             return best
 
         for batch, texts in tk.groups(batches):
             w, h = folded_words(texts)
-            ids, rows, found = np.asarray(batch.column("doc_id")), [], []
-            for n in lengths:
-                gram, at = w.grams(h, n)
-                if len(gram):
-                    spot = np.minimum(np.searchsorted(seeds, gram), len(seeds) - 1)
-                    hit = np.flatnonzero(seeds[spot] == gram)
-                    found.append((spot[hit], at[hit]))
-            spot, at = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            doc = w.doc[at]
-            order = np.lexsort((spot, doc))
-            spot, at, doc = spot[order], at[order], doc[order]
-            for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []:
-                d = doc[part[0]]
-                own = h[w.first[d] : w.first[d] + w.count[d]]
-                by: dict[int, list[np.ndarray]] = {}  # where the document holds the seeds of each item
-                for same in np.split(part, np.flatnonzero(np.diff(spot[part])) + 1):
-                    places, s = at[same] - w.first[d], spot[same[0]]
-                    for k in owner[first[s] : first[s + 1]].tolist():
-                        by.setdefault(k, []).append(places)
-                for k, places in sorted(by.items()):
-                    best = best_of(k, own, np.concatenate(places))
-                    score = best[0] / (2 * len(items[k][1]))
-                    if score >= least:
-                        rows.append((ids[d], items[k][0], round(score, 6), best[1], best[2]))
+            ids, found = np.asarray(batch.column("doc_id")), {}
+            for d, k, a, b in zip(*(c.tolist() for c in candidates(x, w, h, least))):
+                s, p, q = best_of(k, h[w.first[d] + a : w.first[d] + b])
+                score = s / (2 * len(x.words[k]))
+                if score >= least and score > found.get((d, k), (0,))[0]:
+                    found[d, k] = (score, a + p, a + q)
+            rows = [(ids[d], x.ids[k], round(s, 6), p, q) for (d, k), (s, p, q) in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = LEAST) -> DataFrame:
-    """(doc_id, item_id, score, begin, end): aligned word spans of items in documents, with score of ``least`` or more."""
+def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, score, begin, end): aligned word spans of items in documents, with score of ``least`` or more; of several the first of the best."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     rows = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and length(trim(text)) > 0")
@@ -159,18 +229,13 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, least: flo
     out = None
     for k in range(blocks):
         own = [(r.item_id, r.text.encode()) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").toLocalIterator()]
-        part = _block(spark, docs, own, seed, least)
+        part = _block(spark, docs, Items.of(own, least), least)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _block(spark, docs: DataFrame, items: list[tuple[int, bytes]], seed: int, least: float) -> DataFrame:
+def _block(spark, docs: DataFrame, items: Items, least: float) -> DataFrame:
     kind = "doc_id long, item_id long, score double, begin long, end long"
-    gram, item, words = item_seeds(items, seed)
-    if not len(gram):
+    if not len(items):
         return spark.createDataFrame([], kind)
-    lengths = sorted({seed, *(len(x) for x in words if 0 < len(x) < seed)})
-    pairs = np.unique(np.stack([gram, item.astype(_U)]), axis=1)  # by seed, then item
-    seeds, first = np.unique(pairs[0], return_index=True)
-    box = spark.sparkContext.broadcast((seeds, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64), lengths, [(i, x) for (i, _), x in zip(items, words)]))
-    return docs.mapInArrow(_aligned(box, least), kind)
+    return docs.mapInArrow(_aligned(spark.sparkContext.broadcast(items), least), kind)
