@@ -3,7 +3,7 @@
 One pass over the texts finds spans of the base kinds (assign, access, hex) and further
 candidates (``token``: unbroken runs of 20 or more key characters that mix digits and letters
 and are random enough). The values, as 128-bit hashes, are then counted over the whole corpus by distinct
-repositories and owners. A value of at most ``MAX_OWNERS`` owners is ``live`` (owner-specific,
+repositories and owners. A value of at most ``MAX_OWNERS`` owners and ``MAX_REPOS`` repositories is ``live`` (owner-specific,
 live-looking), others are ``example`` (widely copied). Base spans stay whatever their class; a
 ``token`` candidate is reported only if it is live and overlaps no base span.
 
@@ -11,8 +11,8 @@ The counts are partial aggregates of (hash, owner) pairs, so a key copied into a
 documents is a few rows per task. Values never leave the executors in clear.
 
 Edge cases: null text is empty and has no spans; null repositories and owners count as one
-unnamed each. Repeated rows count once by owner. An empty table gives an empty table.
-Extra columns are ignored. ``doc_id`` must be unique and not null.
+unnamed each. Repeated rows count once by owner, and each has its own row in the result (rows of one id and different texts too).
+An empty table gives an empty table. Extra columns are ignored; rows with a null ``doc_id`` go.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from velonet.llm.store import materialise
 
 KINDS = ("assign", "access", "hex")
-MAX_OWNERS, MIN_ENTROPY = 2, 3.5
+MAX_OWNERS, MAX_REPOS, MIN_ENTROPY = 2, 8, 3.5
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 # a run is maximal, so asking for its length at once drops the same matches as dropping short ones later
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -85,16 +85,19 @@ def ownership(spans: DataFrame) -> DataFrame:
     return pairs.groupBy("value").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"), F.sum("n").alias("places"))
 
 
-def scan_secrets(docs: DataFrame, repo: Column, owner: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, repo: Column, owner: Column, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(doc_id, base_sha256, secrets): secrets is an array of (start, end, kind, class, repos, owners), by start and kind."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), "text").filter("doc_id is not null")
     found = materialise(rows.mapInArrow(_scan(), "doc_id long, repo string, owner string, found array<struct<start: long, end: long, kind: string, value: string>>, base_sha256 string"), "secrets")
-    spans = found.select("doc_id", "repo", "owner", F.explode("found").alias("x")).select("doc_id", "repo", "owner", "x.*")
-    owned = ownership(spans)
-    kind = F.when(F.col("owners") <= max_owners, "live").otherwise("example")
+    # rows of one id are told apart by what was found in them; equal ones share their answer
+    found = found.withColumn("_row", F.xxhash64("found", "base_sha256"))
+    spans = found.select("doc_id", "_row", "repo", "owner", F.explode("found").alias("x")).select("doc_id", "_row", "repo", "owner", "x.*")
+    # written first: a join of two plain exchanges can be split where a value is hot
+    owned = materialise(ownership(spans), "secrets-owned")
+    kind = F.when((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos), "live").otherwise("example")
     judged = spans.join(owned, "value").withColumn("class", kind).filter("kind <> 'token' or class = 'live'")
     order = F.array_position(F.array(*map(F.lit, (*KINDS, "token"))), F.col("kind"))
-    by_doc = judged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("rank"), "end", "kind", "class", "repos", "owners"))).alias("s"))
+    by_doc = judged.groupBy("doc_id", "_row").agg(F.array_sort(F.collect_set(F.struct("start", order.alias("rank"), "end", "kind", "class", "repos", "owners"))).alias("s"))
     lean = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["class"].alias("class"), x["repos"].alias("repos"), x["owners"].alias("owners")))
     none = F.array().cast("array<struct<start: long, end: long, kind: string, class: string, repos: long, owners: long>>")
-    return found.select("doc_id", "base_sha256").join(by_doc, "doc_id", "left").select("doc_id", "base_sha256", F.coalesce(lean, none).alias("secrets"))
+    return found.select("doc_id", "_row", "base_sha256").join(by_doc, ["doc_id", "_row"], "left").select("doc_id", "base_sha256", F.coalesce(lean, none).alias("secrets"))

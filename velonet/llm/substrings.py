@@ -18,7 +18,7 @@ have a unique side, which adaptive execution splits.
 
 Edge cases: null, empty and short texts (under ``k`` words) have no window and keep
 all their words. An empty table gives an empty table. Extra columns are ignored.
-``doc_id`` must be unique; rows with a null id go.
+Rows with a null id go. Where ids repeat each row is a document of its own: equal texts repeat each other.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velonet.llm import textkit as tk
-from velonet.llm.store import materialise
+from velonet.llm.store import ids_repeat, materialise, renumbered
 
 _U = np.uint64
 
@@ -170,12 +170,17 @@ def _kept(k: int):
 def remove_repeats(docs: DataFrame, k: int = 35, m: int = 3, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256): ``kept`` is what is left, words joined by one space (null without ``with_text``)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    if ids_repeat(docs):
+        own = renumbered(docs)
+        cut = remove_repeats(own, k, m, with_text)
+        return cut.join(own.select("doc_id", "own_id"), "doc_id").select(F.col("own_id").alias("doc_id"), *cut.columns[1:])
     narrow = materialise(docs.mapInArrow(_narrow(k, m), "h long, pid long, doc_id long, start int, n int"), "superkmers")
-    often = narrow.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # written first: a join of two plain exchanges can be split where a minimiser is hot
+    often = materialise(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "superkmers-often")
     alive = materialise(narrow.join(often, "h"), "superkmers-alive")
     exemplars = alive.groupBy("h", "pid").agg(F.min(F.struct("doc_id", "start", "n")).alias("x"), F.count(F.lit(1)).alias("c"))
     cuts = exemplars.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.start", "x.n", "h", "pid", "c")).alias("cuts"))
     packed = docs.join(cuts, "doc_id").mapInArrow(_packed(k), "h long, pid long, c long, packed binary")
-    hits = packed.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(k), "h long, pid long, hits array<int>")
+    hits = materialise(packed.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(k), "h long, pid long, hits array<int>"), "superkmers-hits")
     marks = alive.join(hits, ["h", "pid"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "hits")).alias("marks"))
     return docs.join(marks, "doc_id", "left").mapInArrow(_kept(k)(with_text), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")

@@ -13,8 +13,8 @@ record of the capture, and gives one nested row per capture.
 Edge cases: null html is an empty payload; null urls give an empty target. Payloads shorter than
 ``MIN_REVISIT`` bytes are always responses. Of equal payloads the largest page_id is the
 response. Records that name no capture are left out of ``assemble`` (``orphans`` lists them).
-Repeated page ids raise no error: each row is a capture of its own only if ids differ, so
-``page_id`` must be unique and not null. Extra columns are ignored.
+Rows with a null page_id are not written. Where page ids repeat each row is a capture of its own, of equal payloads
+one of those with the largest page_id is the response. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velonet.llm.store import ids_repeat, materialise
+
 MIN_REVISIT = 1000
 FILE_RECORDS = 3000
 _DATE = "2024-01-01T00:00:00Z"
@@ -49,18 +51,24 @@ def _record(headers: list[Column | str], block: Column) -> Column:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to): pages whose payload is that of a page with a larger id."""
+    """(_key, refers_to): pages (_key, page_id, html) whose payload is that of a page with a larger id, and that page's key."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    slim = pages.select("page_id", F.octet_length(payload).alias("n"), F.sha1(payload.cast("binary")).alias("sha")).filter(f"n >= {MIN_REVISIT}")
-    kept = slim.groupBy("n", "sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return slim.join(kept, ["n", "sha"]).filter("page_id <> refers_to").select("page_id", "refers_to")
+    slim = pages.select("page_id", "_key", F.octet_length(payload).alias("n"), F.sha1(payload.cast("binary")).alias("sha")).filter(f"n >= {MIN_REVISIT}")
+    kept = slim.groupBy("n", "sha").agg(F.max(F.struct("page_id", "_key")).alias("last"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # written first: a join of two plain exchanges can be split where a payload is hot
+    kept = materialise(kept.select("n", "sha", F.col("last._key").alias("refers_to")), "warc-kept")
+    return slim.join(kept, ["n", "sha"]).filter("_key <> refers_to").select("_key", "refers_to")
 
 
 def write_captures(pages: DataFrame, path: str) -> None:
     """Archives of ``pages`` (page_id, url, html) at ``path``."""
-    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = pages.join(revisits(pages), "page_id", "left")
-    page, again = F.col("page_id"), F.col("refers_to").isNotNull()
+    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).filter("page_id is not null")
+    if ids_repeat(pages, "page_id"):
+        pages = materialise(pages.withColumn("_key", F.concat_ws(":", F.col("page_id").cast("string"), F.monotonically_increasing_id().cast("string"))), "warc-pages")
+    else:
+        pages = pages.withColumn("_key", F.col("page_id").cast("string"))
+    rows = pages.join(revisits(pages), "_key", "left")
+    page, again = F.col("_key"), F.col("refers_to").isNotNull()
     # line breaks would end a header; they are percent-encoded as a URI needs anyway
     target = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"))
     digest = F.sha1(F.col("html").cast("binary"))
@@ -74,30 +82,30 @@ def write_captures(pages: DataFrame, path: str) -> None:
     response = _record(["WARC-Type: response", name("response"), *common, payload_digest, http + "response"], F.concat(head, F.col("html")))
     revisit = _record(["WARC-Type: revisit", name("response"), *common, payload_digest, F.concat(F.lit("WARC-Refers-To: "), _uid("response", F.col("refers_to"))), f"WARC-Profile: {_REVISIT}", http + "response"], head)
     request = _record(["WARC-Type: request", name("request"), *common, linked, http + "request"], F.concat(F.lit("GET "), F.regexp_replace("url", r"[\r\n ]", ""), F.lit(" HTTP/1.1\r\nAccept: */*\r\n\r\n")))
-    metadata = _record(["WARC-Type: metadata", name("metadata"), *common, linked, "Content-Type: application/warc-fields"], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(_CRLF)))
+    metadata = _record(["WARC-Type: metadata", name("metadata"), *common, linked, "Content-Type: application/warc-fields"], F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(_CRLF)))
     one = F.concat_ws(_CRLF * 2, request, F.when(again, revisit).otherwise(response), metadata)
     rows.select(one.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 class _Inflated:
-    """Bytes of a plain or gzip (one member or many) buffer, inflated as they are asked for."""
+    """Bytes of a plain or gzip (one member or many) buffer, inflated as they are asked for; the buffer itself is never copied."""
 
     def __init__(self, raw: bytes):
-        self.rest, self.gz = memoryview(raw), raw[:2] == b"\x1f\x8b"
-        self.coder, self.held, self.ended = None, bytearray(), False
+        self.raw, self.spot, self.gz = memoryview(raw), 0, raw[:2] == b"\x1f\x8b"
+        self.coder, self.held = None, bytearray()
 
     def _more(self) -> bool:
         if not self.gz:
-            took, self.rest = self.rest[: 1 << 20], self.rest[1 << 20 :]
+            took = self.raw[self.spot : self.spot + (1 << 20)]
+            self.spot += len(took)
             self.held += took
             return bool(len(took))
-        while len(self.rest):
+        while self.spot < len(self.raw):
             self.coder = self.coder or zlib.decompressobj(31)
-            took, self.rest = self.rest[: 1 << 16], self.rest[1 << 16 :]
+            took = self.raw[self.spot : self.spot + (1 << 16)]
             out = self.coder.decompress(took)
+            self.spot += len(took) - len(self.coder.unused_data)
             if self.coder.eof:
-                unused = self.coder.unused_data
-                self.rest = memoryview(unused + bytes(self.rest)) if unused else self.rest
                 self.coder = None
             if out:
                 self.held += out
