@@ -7,7 +7,8 @@
    hub of that hash, which joins groups of near copies without emitting pairs.
 3. Tiles: a linked pair must share a shingle among the rarest
    ``n - ceil(t n) + 1`` of either set. Representatives sharing such a shingle
-   but still in different groups meet in a tile of (shingle, size band). Tiles of up to ``SMALL`` rows name their
+   but still in different groups meet in a tile of (shingle, size band). Crowded tiles first link their rows to a hub of each,
+   as in 2, for as long as that joins groups. Tiles of up to ``SMALL`` rows name their
    pairs, larger ones are compared in blocks; parity bitmaps, as wide as the band's sets ask for, bound the overlap
    from above: ``|A & B| <= (|A| + |B| - popcount(a ^ b)) / 2``.
 4. What survives is settled by intersecting the sorted hash arrays, and the
@@ -19,7 +20,8 @@ Besides it only a Bloom filter of fixed size is broadcast, which keeps texts wit
 Edge cases: null or empty text and texts without words have an empty set
 (``n_shingles`` 0), link with nothing and are their own component. Equal texts are
 one class. An empty table gives an empty table. Extra columns are ignored, so
-their names cannot clash. ``doc_id`` must be unique and not null (null ids go).
+their names cannot clash. Rows with a null id go. Where ids repeat each row is a document of its own, numbered anew;
+a component's id is the least ``doc_id`` of its rows.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velonet.llm import idfilter
 from velonet.llm import textkit as tk
 from velonet.llm.components import connected_components
-from velonet.llm.store import materialise
+from velonet.llm.store import ids_repeat, materialise, renumbered
 
 FREQUENT = 1 << 16
 STAR_KEYS = 4
 BLOCK, SMALL = 1024, 16
+#: Rows from which a tile is a crowd, and how many rounds of hubs crowds get before their pairs are compared.
+CROWD, ROUNDS = 64, 3
 _U = np.uint64
 
 
@@ -259,10 +263,41 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, lower: bool, percent:
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(_verified(width, lower, percent), "a long, b long")
 
 
+def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) with both bitmaps."""
+    own = lambda k: maps.select(F.col("id").alias(k), F.col("bitmap").alias(f"m{k}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+
+
+def _live(prefixes: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (token, id, n, label, own, band, visitor) of shingles that more than one group has, and the tiles (token, band, c) where groups meet."""
+    labelled = prefixes.select("id", "n", "tokens").join(near.select("id", "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    own_band = lambda n: F.floor(F.log(n) / math.log(100 / percent)).cast("int")
+    # a set meets its partners of at least its size in their band: its own or the next (one more should rounding want it)
+    reach = F.sequence(own_band(F.col("n") * 1.0), own_band(F.col("n") * (100.0 / percent) * (1 + 1e-9)))
+    postings = labelled.select(F.explode("tokens").alias("token"), "id", F.col("n").cast("int").alias("n"), "label")
+    # written first, so that the join can be split where a shingle is hot
+    shared = materialise(postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "jaccard-shared")
+    live = postings.join(shared, "token")
+    rows = live.select("*", own_band(F.col("n") * 1.0).alias("own"), F.explode(reach).alias("band")).withColumn("visitor", (F.col("own") < F.col("band")).cast("int"))
+    rows = materialise(rows, "jaccard-live")
+    tile = rows.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("visitor").alias("v"), F.count(F.lit(1)).alias("c")).filter("lo < hi and v = 0").select("token", "band", "c")
+    return rows, materialise(tile, "jaccard-tiles")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id): sets of ``width``-word shingles, links from ``percent``/100 Jaccard on."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    if not ids_repeat(docs):
+        return _components(docs, width, percent, lower)
+    own = renumbered(docs)
+    found = materialise(_components(own.select("doc_id", "text"), width, percent, lower).join(own.select("doc_id", "own_id"), "doc_id"), "jaccard-rows")
+    least = found.groupBy(F.col("component_id").alias("_c")).agg(F.min("own_id").alias("_least"))
+    return found.join(least, found["component_id"] == least["_c"]).select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"))
+
+
+def _components(docs: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
+    spark = docs.sparkSession
     found = materialise(docs.mapInArrow(_signatures(width, lower), "doc_id long, n long, f1 long, f2 long, keys array<long>, hot array<long>, hot_n array<long>"), "jaccard-sets")
     hot = found.filter("size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("c")).orderBy(F.desc("c"), "hot").limit(FREQUENT).toArrow()
     value, rank = np.array(hot["hot"], np.int64).view(_U), np.arange(len(hot), 0, -1)
@@ -275,30 +310,35 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, lower
 
     keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"))
+    hubs = materialise(hubs, "jaccard-hubs")  # so that a join on a hot key can be split
     stars = keyed.join(hubs, "key").filter(f"rep <> a and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("rep").alias("b")).distinct()
     stars = materialise(stars, "jaccard-stars")
     links = materialise(verify(stars, docs, width, lower, percent), "jaccard-links")
-    near = connected_components(links)
-    labels = classes.select("rep", "n").join(near.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("label"))
-
     prefixes = docs.mapInArrow(_prefixes(width, lower, percent, frequent), "id long, tokens array<long>, bitmap binary")
-    prefixes = materialise(prefixes.join(labels, prefixes.id == labels.rep).drop("rep"), "jaccard-prefixes")
-    own_band = lambda n: F.floor(F.log(n) / math.log(100 / percent)).cast("int")
-    # a set meets its partners of at least its size in their band: its own or the next (one more should rounding want it)
-    reach = F.sequence(own_band(F.col("n") * 1.0), own_band(F.col("n") * (100.0 / percent) * (1 + 1e-9)))
-    postings = prefixes.select(F.explode("tokens").alias("token"), "id", F.col("n").cast("int").alias("n"), "label")
-    same = Window.partitionBy("token")
-    live = postings.select("*", F.min("label").over(same).alias("lo"), F.max("label").over(same).alias("hi")).filter("lo < hi").drop("lo", "hi")
-    rows = live.select("*", own_band(F.col("n") * 1.0).alias("own"), F.explode(reach).alias("band")).withColumn("visitor", (F.col("own") < F.col("band")).cast("int"))
-    rows = materialise(rows, "jaccard-live")
-    tile = rows.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("visitor").alias("v"), F.count(F.lit(1)).alias("c")).filter("lo < hi and v = 0").select("token", "band", "c")
+    prefixes = materialise(prefixes.join(classes.select("rep", "n"), prefixes.id == F.col("rep")).drop("rep"), "jaccard-prefixes")
+    maps = prefixes.select("id", "bitmap")
+    bounded = lambda pairs: _with_maps(pairs, maps).mapInArrow(_bounded(percent), "a long, b long")
+    near_size = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
+    for turn in range(1, ROUNDS + 2):
+        near = connected_components(links)
+        rows, tile = _live(prefixes, near, percent)
+        if turn > ROUNDS or tile.filter(F.col("c") > CROWD).isEmpty():
+            break
+        # crowds first: one hub a tile, another in each round, so that a crowd of near copies becomes a group without its pairs
+        crowd = rows.join(tile.filter(F.col("c") > CROWD), ["token", "band"])
+        hub = crowd.filter("visitor = 0").groupBy("token", "band").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64(F.lit(turn), "id")).alias("hub"))
+        hub = materialise(hub, "jaccard-crowds")
+        asked = crowd.join(hub, ["token", "band"]).filter("label <> hub.label and " + near_size.format("n", "hub.n"))
+        asked = asked.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+        more = materialise(verify(materialise(bounded(asked), "jaccard-asked"), docs, width, lower, percent), "jaccard-more")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
 
     few = rows.join(tile.filter(F.col("c") <= SMALL), ["token", "band"]).groupBy("token", "band").agg(F.collect_list(F.struct("id", "n", "label", "visitor")).alias("x"))
     met = few.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter(f"p.id < q.id and p.label <> q.label and p.visitor + q.visitor < 2 and 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)")
     met = met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
-    maps = prefixes.select("id", "bitmap")
-    met = met.join(maps.select(F.col("id").alias("a"), F.col("bitmap").alias("ma")), "a").join(maps.select(F.col("id").alias("b"), F.col("bitmap").alias("mb")), "b")
-    met = met.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_bounded(percent), "a long, b long")
+    met = bounded(met)
 
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     large = rows.join(tile.filter(F.col("c") > SMALL), ["token", "band"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
