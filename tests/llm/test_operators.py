@@ -114,18 +114,29 @@ def test_substrings(spark, k, m):
         assert (got[d].n_words, got[d].n_removed, bytes(got[d].kept), got[d].kept_sha256) == (len(x), len(gone), kept, hashlib.sha256(kept).hexdigest())
 
 
+def line_windows(lines, seen):
+    """The lines of windows met before: the shortest run of lines of 50 words or 3 lines, from each line on."""
+    gone = set()
+    for i in range(len(lines)):
+        for n in (1, 2, 3):
+            run = tuple(lines[i : i + n])
+            if len(run) == n and (n == 3 or sum(len(words(x)) for x in run) >= 50):
+                if run in seen:
+                    gone |= set(range(i, i + n))
+                seen.add(run)
+                break
+    return gone
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     texts = [None, "", "\n", "a\nb\nc"] + ["\n".join(rng.choices("abcd", k=rng.choice([1, 2, 3, 5, 12]))) for _ in range(60)] + ["x\n" * 9]
+    long, half = " ".join(rng.choices("efgh", k=50)), " ".join(rng.choices("efgh", k=25))
+    texts += [long, "a\n" + long + "\nz", " ".join(long.split()[:49]), half + "\n" + half, "q\n" + half + "\n" + half, half, long + "\t" + long + "\nb"]
     seen, want = set(), {}
     for d, t in enumerate(texts):
         lines = None if t is None else t.split("\n")
-        gone = set()
-        for i in range(len(lines or []) - 2):
-            run = tuple(lines[i : i + 3])
-            if run in seen:
-                gone |= {i, i + 1, i + 2}
-            seen.add(run)
+        gone = line_windows(lines or [], seen)
         want[d] = (None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines or []), len(gone))
     out = linededup.dedup_lines(docs(spark, texts))
     assert out.columns == [*DOCS.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", "), "n_lines", "n_removed"]
@@ -215,13 +226,24 @@ def test_url_rules_and_cascade(spark):
 def test_cascade_has_levels_and_is_exact(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "BITS", 3)
     keys = spark.range(4000).select(F.col("id").cast("string").alias("key"))
-    c = urlfilter.build_cascade(keys, F.col("key").cast("int") % 7 == 0)
+    sevens = {str(i) for i in range(0, 4000, 7)}
+    (c,) = urlfilter.build_cascades(keys, F.col("key").cast("int") % 7 == 0)
     assert len(c.levels) >= 3
-    assert {int(r.key) for r in keys.filter(c.listed(F.col("key"))).collect()} == set(range(0, 4000, 7))
-    assert urlfilter.build_cascade(keys.limit(0), F.lit(True)).levels == ()
-    monkeypatch.setattr(urlfilter, "MAX_BITS", 64)
-    with pytest.raises(ValueError):
-        urlfilter.build_cascade(keys, F.lit(True))
+    assert {r.key for r in keys.filter(c.listed(F.col("key"))).collect()} == sevens
+    assert urlfilter.build_cascades(keys.limit(0), F.lit(True))[0].levels == ()
+
+
+def test_a_list_in_slices_equals_a_join(spark, monkeypatch):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 900).cast("string"), F.lit(".org/x")).alias("url"))
+    pages = pages.unionByName(pages.limit(5)).unionByName(spark.createDataFrame([(None, None), (None, "http://h3.org")], "page_id long, url string"))
+    listed = spark.createDataFrame([(f"h{i}.org",) for i in [*range(0, 900, 3), 3, 3]] + [(None,), ("elsewhere.org",)], "key string")
+    joined = pages.withColumn("host", urlfilter.host_and_path(F.col("url"))[0]).join(listed.distinct(), F.col("host") == F.col("key"), "left_anti")
+    want = sorted((r.page_id or -1, r.url or "") for r in joined.collect())
+    for bits in (urlfilter.MAX_BITS, 640):
+        monkeypatch.setattr(urlfilter, "MAX_BITS", bits)
+        judged = urlfilter.judge(pages, [], listed)
+        assert sorted((r.page_id or -1, r.url or "") for r in judged.filter("verdict = 'allow'").collect()) == want and judged.count() == pages.count()
+    assert len(urlfilter.build_cascades(judged.select(F.col("host").alias("key")), listed)) >= 4
 
 
 def smith_waterman(item, passage):
@@ -263,8 +285,8 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, texts), items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard", [1 << 15, 20])
-def test_bm25_equals_scoring_everything(spark, shard):
+@pytest.mark.parametrize("groups,shard,tile", [(None, 1 << 13, 1 << 14), (3, 20, 4), (1, 50, 100)])
+def test_bm25_equals_scoring_everything(spark, groups, shard, tile):
     texts = corpus(8, 200)
     bags = [Counter(words(t, True)) for t in texts]
     length = [sum(b.values()) for b in bags]

@@ -7,7 +7,7 @@ import string
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
-from test_operators import jaccard_truth
+from test_operators import jaccard_truth, line_windows
 
 from velonet.llm import bpe, toxicity
 
@@ -50,11 +50,8 @@ def test_stages(spark, tmp_path):
     seen, want = set(), {}
     for d in sorted(kept[0]):
         t = kept[0][d].text
-        lines, gone = (t or "").split("\n"), set()
-        for i in range(len(lines) - 2):
-            if tuple(lines[i : i + 3]) in seen:
-                gone |= {i, i + 1, i + 2}
-            seen.add(tuple(lines[i : i + 3]))
+        lines = (t or "").split("\n")
+        gone = line_windows(lines, seen) if t is not None else set()
         left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         if not gone or left.strip():
             want[d] = None if t is None else left
