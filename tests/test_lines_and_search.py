@@ -144,3 +144,41 @@ def test_register_union_keeps_the_first(spark):
     a = spark.createDataFrame([(24.94, 60.17, "a", None, 1)], s)
     b = spark.createDataFrame([(24.940001, 60.17, "b", "x", 2), (25.0, 60.17, "b", None, 3)], s)
     assert sorted((r.city, r.seq) for r in signals.register_union([a, b]).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_claims_follow_chains_of_points(spark):
+    """1 and 3 meet only through 2's candidates; 4 is on its own and does not wait for them."""
+    reg = spark.createDataFrame([(1, "b", 24.0, 60.0), (2, "a", 24.1, 60.0), (3, "a", 24.0, 60.0), (4, "c", 24.0, 60.0)], "point long, city string, lon double, lat double")
+    c = "point long, kind string, node long, metres double, lit boolean, grounded boolean, walkable boolean, crossing boolean"
+    at = lambda p, n, m: (p, "cycleway", n, m, False, True, True, True)
+    cand = spark.createDataFrame([at(1, 10, 5.0), at(2, 10, 20.0), at(2, 11, 10.0), at(3, 11, 30.0), at(3, 12, 35.0), at(4, 20, 70.0)], c)
+    groups = {r.point: r.group for r in signals.point_groups(cand).collect()}
+    assert groups == {1: 1, 2: 1, 3: 1, 4: 4}
+    # in order 3, 2, 1: 3 claims 11, 2 knows it, 1 claims 10
+    got = {r.point: (r.node, r.outcome) for r in signals.claim(reg, cand).collect()}
+    assert got == {3: (11, "claimed"), 2: (11, "known"), 1: (10, "claimed"), 4: (20, "claimed")}
+
+
+def test_register_union_is_in_order(spark):
+    rows = spark.createDataFrame([(25.0, 60.2, "b", None, 1), (24.0, 60.3, "b", None, 2), (24.5, 60.1, "a", None, 3), (24.0, 60.2, "b", None, 4)], "lon double, lat double, city string, name string, seq long")
+    assert [r.seq for r in signals.register_union([rows]).collect()] == [3, 4, 2, 1]
+
+
+def test_grids_on_the_meridian_and_back(spark):
+    from velonet.functions import geo
+
+    df = spark.createDataFrame([(27.0, 60.0), (25.0, 60.0), (24.3, 61.7), (30.9, 69.9)], "lon double, lat double")
+    for crs, (meridian, scale, false) in geo.GRIDS.items():
+        e, n = geo.to_grid("lon", "lat", crs)
+        there = df.withColumns({"e": e, "n": n})
+        lon, lat = geo.from_grid("e", "n", crs)
+        for r in there.withColumns({"x": lon, "y": lat}).collect():
+            assert r.x == pytest.approx(r.lon, abs=1e-9) and r.y == pytest.approx(r.lat, abs=1e-9)
+            if r.lon == meridian:  # 6654072.819 m of meridian from the equator to 60 degrees on this ellipsoid
+                assert r.e == pytest.approx(false, abs=1e-3) and (r.lat != 60 or r.n == pytest.approx(6_654_072.819 * scale, abs=2e-3))
+
+
+def test_ranks_without_a_group_span_ranges(spark):
+    df = spark.range(2000).select((F.col("id") * 7919 % 500).cast("double").alias("x"))
+    got = {r.x: r.k for r in evaluate.mean_ranks(df, "x", "k").distinct().collect()}
+    assert got == {float(v): 4 * v + 2.5 for v in range(500)}

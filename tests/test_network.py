@@ -134,3 +134,25 @@ def test_degree(spark):
     got = {r.node: r.degree for r in network.degrees(segments(spark, BASE)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 1}
     assert pytest.approx(metres(1, 2), rel=1e-9) == 0.002 * math.cos(math.radians(60.17)) * 111320
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_by_joins_equal_the_array_task(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    a = arcs(spark, [(rng.randrange(30), rng.randrange(30)) for _ in range((25, 40, 60)[seed - 1])]).cache()
+    want = {r.node for r in network.largest_scc(a).collect()}
+    assert {r.node for r in network.scc_by_joins(a).collect()} == want
+
+
+def test_components_by_joins_of_trees_and_nothing(spark):
+    assert [r.node for r in network.scc_by_joins(arcs(spark, [(3, 2), (2, 5)])).collect()] == [2]
+    assert network.scc_by_joins(arcs(spark, [])).count() == 0
+    assert {r.node for r in network.scc_by_joins(arcs(spark, [(7, 8), (8, 7), (1, 2), (2, 1), (2, 7)])).collect()} == {1, 2}
+
+
+def test_build_numbers_and_cuts(spark):
+    e, n = network.build_network(segments(spark, BASE), spark.createDataFrame([(i, 0, 0) for i in range(1, 6)], "node long, kind int, barrier int"))
+    rows = e.collect()
+    assert len({r.edge_id for r in rows}) == len(rows) and {r.node for r in n.collect()} >= {x for r in rows for x in (r.a, r.b)}

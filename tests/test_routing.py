@@ -201,3 +201,48 @@ def test_height_profile_runs_along_the_route(spark):
     got = [(round(r.dist, 3), r.height) for r in routing.height_profile(paths, states, node_h, shape).orderBy("dist").collect()]
     m = rolled[0, 1].metres / 2
     assert got == [(0.0, 1.0), (round(m / 2, 3), 1.5), (round(m, 3), 2.0), (round(m + m / 3, 3), 8.0), (round(m + 2 * m / 3, 3), 9.0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_floor_never_overestimates(spark, seed):
+    """Models and tastes below 1, lit ones too: the bounded search equals the one without a bound."""
+    rng = random.Random(seed)
+    specs = [(i, j, o | {"lit": rng.choice([0, 1])}) for i, j, o in random_grid(seed + 20)]
+    g = build(spark, GRID, specs)
+    model = K.CostModel(slow=rng.choice([0.3, 0.65, 1.0]))
+    taste = K.Taste({k: rng.choice([0.2, 0.5, 0.9, 1.0, 3.0]) for k in C.TASTES})
+    graph, _ = routing.load(routing.priced(*g, model, taste), g[1], model, taste)
+    loose, _ = routing.load(routing.priced(*g, model, taste), g[1], model, taste)
+    loose.floor = 0.0
+    for a, b in itertools.permutations(range(16), 2):
+        cost, _, last = graph.search(a, b)
+        want, _, end = loose.search(a, b)
+        assert (last < 0) == (end < 0) and (last < 0 or cost[last] == pytest.approx(want[end]))
+
+
+def test_the_floor_knows_the_riders_own_factor():
+    assert K.heuristic_floor(K.Taste({"shared": 0.9, "network": 1, "sidepath": 1}), K.CostModel(slow=1.0)) == pytest.approx(0.9)
+    assert K.heuristic_floor(K.Taste({"unpaved": 0.4, "lit": 0.8, "network": 1, "sidepath": 1})) == pytest.approx(0.4 / 0.8 - 0.2)
+
+
+def test_costs_by_joins_equal_the_search(spark, monkeypatch):
+    g = build(spark, GRID, random_grid(8))
+    model, taste = K.CostModel(), K.Taste({"turn": 2, "traffic": 3})
+    states = routing.priced(*g, model, taste)
+    src = spark.createDataFrame([(0,), (99,)], "source long")
+    for true in (True, False):
+        monkeypatch.setattr(routing, "MAX_ARCS", 10**6)
+        want = {r.node: r.seconds for r in routing.costs(states, g[1], src, model, taste, true=true).collect()}
+        monkeypatch.setattr(routing, "MAX_ARCS", 3)
+        got = {r.node: r.seconds for r in routing.costs(states, g[1], src, model, taste, true=true).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_side_tables_default_to_flat_and_bare(spark):
+    edges, nodes = build(spark, {0: (0, 0), 1: (10, 0), 2: (20, 0)}, [(0, 1, {}), (1, 2, {})])
+    climb = spark.createDataFrame([(0, 5.0, 1.0)], "edge_id long, ascent double, descent double")
+    winter = spark.createDataFrame([(1, 2)], "edge_id long, tier int")
+    both = {r.edge_id: (r.ascent, r.descent, r.tier) for r in routing.with_sides(edges, climb, winter).collect()}
+    assert both == {0: (5.0, 1.0, 0), 1: (0.0, 0.0, 2)}
+    states = {r.state: r.true_s for r in routing.priced(routing.with_sides(edges, climb, winter), nodes, K.CostModel(), K.Taste()).collect()}
+    assert states[0] - states[1] == pytest.approx((5 * 2 - 1 * 0.4) - max(0, 1 * 2 - 5 * 0.4)) and states[2] == pytest.approx(states[3])

@@ -95,3 +95,62 @@ def zigzag(v) -> Column:
 
 def unzigzag(v) -> Column:
     return F.call_function("shiftrightunsigned", col(v).cast("long"), F.lit(1)).bitwiseXOR(-(col(v).cast("long").bitwiseAND(F.lit(1).cast("long"))))
+
+
+def cell_truncated(x, size: float) -> Column:
+    """As ``cell``, but towards zero: the same for positive coordinates."""
+    return (col(x) / size).cast("long")
+
+
+# The reference ellipsoid, and central meridian, scale and false easting of the two national grids.
+ELLIPSOID = (6378137.0, 1 / 298.257222101)
+GRIDS = {3067: (27.0, 0.9996, 500_000.0), 3879: (25.0, 1.0, 25_500_000.0)}
+
+
+def _series() -> tuple[float, tuple[float, ...], tuple[float, ...]]:
+    """Radius of the rectifying sphere, and the coefficients to the plane and back, in the third flattening up to its fourth power."""
+    a, f = ELLIPSOID
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    there = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    return radius, there, back
+
+
+def _conformal() -> tuple[float, ...]:
+    """The coefficients from the conformal latitude to the latitude itself."""
+    n = ELLIPSOID[1] / (2 - ELLIPSOID[1])
+    return 2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630
+
+
+def to_grid(lon, lat, crs: int) -> tuple[Column, Column]:
+    """(east, north) in metres of a transverse Mercator grid, by Krueger's series."""
+    meridian, scale, false = GRIDS[crs]
+    radius, there, _ = _series()
+    f = ELLIPSOID[1]
+    e = (f * (2 - f)) ** 0.5
+    s = F.sin(F.radians(col(lat)))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    turn = F.radians(col(lon) - meridian)
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    north, east = xi, eta
+    for j, c in enumerate(there, 1):
+        north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return false + scale * radius * east, scale * radius * north
+
+
+def from_grid(east, north, crs: int) -> tuple[Column, Column]:
+    """(lon, lat) in degrees of a point of a transverse Mercator grid."""
+    meridian, scale, false = GRIDS[crs]
+    radius, _, back = _series()
+    xi, eta = col(north) / (scale * radius), (col(east) - false) / (scale * radius)
+    x, y = xi, eta
+    for j, c in enumerate(back, 1):
+        x = x - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi
+    for j, c in enumerate(_conformal(), 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return meridian + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velonet import constants as C
 from velonet.functions import geo
-from velonet.sources.shared import cut_lineage
+from velonet.sources.shared import Rounds, cut_lineage
 
 
 def dedupe_segments(raw: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def contract(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes: node, kind, barrier; optional ``inside`` (nodes outside always stay). Lengths add up; traffic, name and
     class are those that carry most metres, grade that of most rough metres; any network bit stays; a direction
     stays if every segment has it; delays inside are counts. A chain is written from its end with the smaller id
-    (of a loop, from its smaller neighbour), and its edge_id is the rank of (a, b, first).
+    (of a loop, from its smaller neighbour); (a, b, first) is its key, ``build_network`` numbers edges by it.
     """
     degree = degrees(segments)
     flags = degree.join(nodes, "node", "left")
@@ -152,7 +152,6 @@ def contract(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     ]
     for m in modes:
         sums = sums.join(m, chain, "left")
-    # dense ids by range-partitioned rank would need a global sort; a hash of the key is as good an identity
     return sums.filter("access > 0").select(
         F.col("start_tail").alias("a"), F.col("end").alias("b"), F.col("start_head").alias("first"), "length", "unpaved", "shared", "lit", "signals", "crossings", "barriers",
         "access", F.coalesce("traffic", F.lit(0)).alias("traffic"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("grade", F.lit(0)).alias("grade"),
@@ -169,37 +168,71 @@ def number_rows(df: DataFrame, order: list[str], name: str, partitions: int = 64
     return parts.join(F.broadcast(base.select("_p", "_first", "_before")), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_before")).drop("_p", "_m", "_first", "_before")
 
 
+def build_network(segments: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) to route on: contracted, numbered from 0 in order of (a, b, first), and cut to the largest strongly connected component."""
+    edges = cut_lineage(number_rows(contract(segments, nodes), ["a", "b", "first"], "edge_id"), "edges")
+    kept = cut_lineage(largest_scc(directed_states(edges).select("tail", "head")), "component")
+    return restrict(edges, kept), nodes.join(kept, "node", "left_semi")
+
+
 def reachable(arcs: DataFrame, pivot: int, max_rounds: int = 100_000) -> DataFrame:
     """Nodes reached from ``pivot`` over arcs (tail, head), itself included; one join a round."""
     spark = arcs.sparkSession
-    seen = fresh = cut_lineage(spark.createDataFrame([(pivot,)], "node long"), "reach")
+    one = spark.createDataFrame([(pivot,)], "node long")
+    all_, next_ = Rounds("reach"), Rounds("reach")
+    seen, fresh = all_.write(one), next_.write(one)
     for _ in range(max_rounds):
-        fresh = cut_lineage(arcs.join(fresh.withColumnRenamed("node", "tail"), "tail").select(F.col("head").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
+        fresh = next_.write(arcs.join(fresh.withColumnRenamed("node", "tail"), "tail").select(F.col("head").alias("node")).distinct().join(seen, "node", "left_anti"))
         if fresh.isEmpty():
             return seen
-        seen = seen.unionByName(fresh)
+        seen = all_.write(seen.unionByName(fresh))
     raise RuntimeError(f"reachability did not end in {max_rounds} rounds")
 
 
-#: Arcs up to which components and routes are worked out in one process (24 bytes each).
-MAX_ARCS = 20_000_000
+#: Arcs up to which components and routes are worked out in one process.
+MAX_ARCS = 5_000_000
 
 
 def largest_scc(arcs: DataFrame) -> DataFrame:
     """(node) of the largest strongly connected component of arcs (tail, head); of equal ones that with the least node.
 
-    One task works on arrays while there are at most ``MAX_ARCS`` arcs. Beyond, forward and backward reach of the node with most
-    arcs are intersected, which is right if that holds over half of all nodes, and is checked.
+    One task works on arrays while there are at most ``MAX_ARCS`` arcs, beyond that it is joins; both give the same.
     """
     if arcs.count() <= MAX_ARCS:
         return arcs.select("tail", "head").coalesce(1).mapInArrow(_scc_task, "node long")
-    ends = arcs.select(F.explode(F.array("tail", "head")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    pivot = ends.orderBy(F.desc("n"), "node").first()["node"]
-    own = reachable(arcs, pivot).join(reachable(arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head")), pivot), "node", "left_semi")
-    own = cut_lineage(own, "scc")
-    if 2 * own.count() <= ends.count():
-        raise RuntimeError("the pivot's component holds less than half of the nodes; give another pivot")
-    return own
+    return scc_by_joins(arcs)
+
+
+def scc_by_joins(arcs: DataFrame, trims: int = 10) -> DataFrame:
+    """``largest_scc`` without any task holding the graph.
+
+    Nodes without a way in or out are components of their own and go first (``trims`` times). Then what a pivot reaches and is reached
+    by is a component; it is taken out, until what is left can't hold a larger one. In a road network the first pivot is enough.
+    """
+    arcs = cut_lineage(arcs.select("tail", "head").distinct(), "scc")
+    ends = arcs.select(F.explode(F.array("tail", "head")).alias("node"))
+    best_n, best_least = 1, ends.agg(F.min("node")).first()[0]
+    best = ends.distinct().filter(F.col("node") == best_least) if best_least is not None else ends
+    while True:
+        arcs = arcs.filter("tail <> head")
+        for _ in range(trims):
+            before = arcs.count()
+            live = arcs.select(F.col("tail").alias("node")).intersect(arcs.select(F.col("head").alias("node")))
+            arcs = cut_lineage(restrict(arcs.select(F.col("tail").alias("a"), F.col("head").alias("b")), live).select(F.col("a").alias("tail"), F.col("b").alias("head")), "scc")
+            if arcs.count() == before:
+                break
+        ends = arcs.select(F.explode(F.array("tail", "head")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        if ends.count() < best_n or arcs.isEmpty():
+            return best
+        pivot = ends.orderBy(F.desc("n"), "node").first()["node"]
+        back = arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head"))
+        own = cut_lineage(reachable(arcs, pivot).join(reachable(back, pivot), "node", "left_semi"), "scc")
+        n, least = own.agg(F.count(F.lit(1)), F.min("node")).first()
+        if (n, -least) > (best_n, -best_least):
+            best, best_n, best_least = own, n, least
+        for end in ("tail", "head"):
+            arcs = arcs.join(own.select(F.col("node").alias(end)), end, "left_anti")
+        arcs = cut_lineage(arcs, "scc")
 
 
 def _scc_task(batches):

@@ -106,3 +106,15 @@ def sample_heights(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> Dat
     met = points.join(tiles, (F.col("lon") >= F.col("west")) & (F.col("lat") <= F.col("north"))).filter(inside).select(*key, "tile", "rank", y.alias("row"), x.alias("col"))
     first = met.join(cells, ["tile", "row", "col"]).filter("height is not null and not isnan(height)").groupBy(*key).agg(F.min_by("height", "rank").alias("height"))
     return points.join(first, key, "left")
+
+
+def deltas(rows: DataFrame, key: str, pos: str, value: str, anchor: str) -> DataFrame:
+    """Adds ``delta``: what each value adds to the one before; the first of a key adds to ``anchor``."""
+    before = F.coalesce(F.lag(value).over(Window.partitionBy(key).orderBy(pos)), F.col(anchor))
+    return rows.withColumn("delta", F.col(value) - before)
+
+
+def undo_deltas(rows: DataFrame, key: str, pos: str, delta: str, anchor: str) -> DataFrame:
+    """Adds ``value``: the anchor and all deltas up to each row."""
+    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("value", F.col(anchor) + F.sum(delta).over(w))

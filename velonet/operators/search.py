@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velonet import constants as C
-from velonet.functions import geo, text
+from velonet.functions import geo, tags, text
 from velonet.operators.spatial import grid_join, nearest
 
 
@@ -109,3 +109,33 @@ def recall(truth: DataFrame, hits: DataFrame, within_m: float = 250.0) -> DataFr
     best = best.groupBy("query").agg(F.min(F.when(F.col("_ok"), F.col("rank"))).alias("rank"))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return best.agg(F.count(F.lit(1)).alias("queries"), share(F.col("rank") <= 1).alias("top1"), share(F.col("rank") <= 3).alias("top3"), share(F.col("rank").isNotNull()).alias("in_list"))
+
+
+def index_order(places: DataFrame) -> DataFrame:
+    """``places`` with ``position``, from 0: by rank of the kind, the most notable first, then by name."""
+    from velonet.operators.network import number_rows
+
+    rows = places.withColumn("_less", -F.col("notability"))
+    return number_rows(rows, ["rank", "_less", "name", "place"], "position").drop("_less")
+
+
+def index_tables(nodes: DataFrame, ways: DataFrame, areas: DataFrame, bounds=C.BOUNDS) -> dict[str, DataFrame]:
+    """``door`` (seq, street, number, lon, lat), ``road`` (seq, street, lon, lat), ``district`` and ``poi`` (seq, name, kind, lon, lat, notability) of an extract.
+
+    nodes: id, lon, lat, tags. ways: id, points (array of lon, lat), tags; a named rideable way lies at its middle point. areas: id, ring
+    (array of lon, lat), tags; an area lies at the mean of its ring. Doors and places come from nodes, then areas; everything outside the
+    bounds goes. ``seq`` is the order in which the first of several wins.
+    """
+    n, t = F.size("points"), F.col("tags")
+    mean = lambda i: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[i]) / F.size("ring")
+    at_node = nodes.select(F.lit(0).alias("_k"), "id", "lon", "lat", "tags")
+    at_area = areas.filter(F.size("ring") > 0).select(F.lit(1).alias("_k"), "id", mean("lon").alias("lon"), mean("lat").alias("lat"), "tags")
+    spots = at_node.unionByName(at_area).filter(geo.within("lon", "lat", bounds)).withColumn("seq", F.struct("_k", "id"))
+    filled = lambda k: F.coalesce(t[k], F.lit("")) != ""
+    door = spots.filter(filled("addr:street")).select("seq", t["addr:street"].alias("street"), F.coalesce(t["addr:housenumber"], F.lit("")).alias("number"), "lon", "lat")
+    road = ways.filter(filled("name") & tags.rideable(t) & (n > 0)).withColumn("_m", F.get("points", F.floor(n / 2).cast("int")))
+    road = road.select(F.col("id").alias("seq"), t["name"].alias("street"), F.col("_m.lon").alias("lon"), F.col("_m.lat").alias("lat")).filter(geo.within("lon", "lat", bounds))
+    district = spots.filter((F.col("_k") == 0) & t["place"].isin(*C.DISTRICTS) & filled("name")).select("seq", t["name"].alias("name"), t["place"].alias("kind"), "lon", "lat", F.lit(0).alias("notability"))
+    poi = spots.withColumn("kind", tags.poi_kind(t)).filter("kind is not null")
+    poi = poi.select("seq", F.explode(tags.names_of(t)).alias("name"), "kind", "lon", "lat", tags.notability(t).alias("notability"))
+    return {"door": door, "road": first_of(road, ["street"], ["seq"]), "district": first_of(district, ["name"], ["seq"]), "poi": poi}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from velonet import constants as C
 from velonet.functions import geo
 from velonet.operators.spatial import grid_join, nearest_within
-from velonet.sources.shared import cut_lineage
+from velonet.sources.shared import Rounds, cut_lineage
 
 
 def crosses(a: str, b: str):
@@ -62,15 +62,17 @@ def match_register(register: DataFrame, nodes: DataFrame, near: float = C.REGIST
 
 def walk(arcs: DataFrame, starts: DataFrame, budget: float = C.WALK_M, max_rounds: int = 10_000) -> DataFrame:
     """(start, node, metres): nodes within ``budget`` metres of riding of each start, undirected arcs (tail, head, length)."""
-    seen = frontier = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("metres")), "walk")
+    all_, fresh = Rounds("walk"), Rounds("walk")
+    begin = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("metres"))
+    seen, frontier = all_.write(begin), fresh.write(begin)
     for _ in range(max_rounds):
         step = frontier.join(arcs, frontier["node"] == arcs["tail"]).select("start", F.col("head").alias("node"), (F.col("metres") + F.col("length")).alias("m")).filter(F.col("m") <= budget)
         step = step.groupBy("start", "node").agg(F.min("m").alias("m"))
         better = step.join(seen, ["start", "node"], "left").filter(F.col("metres").isNull() | (F.col("m") < F.col("metres"))).select("start", "node", F.col("m").alias("metres"))
-        frontier = cut_lineage(better, "walk")
+        frontier = fresh.write(better)
         if frontier.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(frontier).groupBy("start", "node").agg(F.min("metres").alias("metres")), "walk")
+        seen = all_.write(seen.unionByName(frontier).groupBy("start", "node").agg(F.min("metres").alias("metres")))
     raise RuntimeError("the walk did not end")
 
 
@@ -81,21 +83,16 @@ def claim(register: DataFrame, candidates: DataFrame, near: float = C.REGISTER_N
     the point may reach it (walkable) and it is crossed there (crossing). A light already lit in reach is ``known``; else
     the nearest grounded node within ``near``, or ``far``, is claimed and counts as lit for later points.
 
-    The order is one sequence: a claim changes what later points see. Points interact only through
-    shared candidate nodes, so each connected group of points could go on its own; a register of a region has about a
-    thousand rows, and one task folds over it. ``MAX_POINTS`` guards that.
+    A claim changes what later points see, but only those that share a candidate with it, directly or through others: each such
+    group of points is folded over in its order by a task of its own.
     """
-    if register.count() > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} register points; claim by region")
-    order = {r["point"]: i for i, r in enumerate(register.orderBy("city", "lon", "lat", "point").select("point").collect())}
-
     def fold(pdf):
         import pandas as pd
 
-        pdf = pdf.assign(at=pdf["point"].map(order)).sort_values(["at", "metres", "node"], kind="stable")
+        pdf = pdf.sort_values(["city", "lon", "lat", "point", "metres", "node"], kind="stable")
         lit = {k: set(g.loc[g["lit"], "node"]) for k, g in pdf.groupby("kind")}
         out = []
-        for (_, point), own in pdf.groupby(["at", "point"], sort=True):
+        for point, own in pdf.groupby("point", sort=False):
             for kind in ("cycleway", "road"):
                 at = own[own["kind"] == kind]
                 ok = at[at["walkable"] & at["crossing"]]
@@ -112,11 +109,24 @@ def claim(register: DataFrame, candidates: DataFrame, near: float = C.REGISTER_N
                     out.append((point, kind, node, "claimed"))
         return pd.DataFrame(out, columns=["point", "kind", "node", "outcome"])
 
-    one = candidates.withColumn("_one", F.lit(1))
-    return one.groupBy("_one").applyInPandas(lambda pdf: fold(pdf.drop(columns="_one")), "point long, kind string, node long, outcome string")
+    grouped = candidates.join(register.select("point", "city", "lon", "lat"), "point").join(point_groups(candidates), "point")
+    return grouped.groupBy("group").applyInPandas(fold, "point long, kind string, node long, outcome string")
 
 
-MAX_POINTS = 100_000
+def point_groups(candidates: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(point, group): the least point that each point is connected to through shared candidates (point, kind, node)."""
+    met = cut_lineage(candidates.select("point", "kind", "node").distinct(), "met")
+    rounds = Rounds("groups")
+    now = rounds.write(met.select("point", F.col("point").alias("group")).distinct())
+    for _ in range(max_rounds):
+        least = met.join(now, "point").groupBy("kind", "node").agg(F.min("group").alias("group"))
+        seen = met.join(least, ["kind", "node"]).groupBy("point").agg(F.min("group").alias("group"))
+        # a group's own point may have found a smaller one meanwhile
+        further = seen.join(seen.select(F.col("point").alias("group"), F.col("group").alias("g")), "group").select("point", F.col("g").alias("group"))
+        before, now = now.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0], rounds.write(further)
+        if now.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0] == before:
+            return now
+    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
 
 def register_union(registers: list[DataFrame]) -> DataFrame:
@@ -125,4 +135,4 @@ def register_union(registers: list[DataFrame]) -> DataFrame:
     for r in registers[1:]:
         rows = rows.unionByName(r)
     place = Window.partitionBy(F.round("lon", 4), F.round("lat", 4)).orderBy("seq")
-    return rows.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n").orderBy("city", "lon", "lat")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from velonet import constants as C
 from velonet.functions import geo
+from velonet.sources.shared import cut_lineage
 
 
 def reach_cells(lat: Column, radius_m: float, cell: float) -> tuple[Column, Column]:
@@ -48,11 +49,11 @@ def nearest(left: DataFrame, right: DataFrame, key: str, payload: list[str], cel
     rest, radius, found = left.select(key, *at).distinct(), start_m, None
     while True:
         size = max(cell, radius / C.METRES_LAT)
-        near = nearest_within(rest, right, key, payload, radius, size, at, to)
+        near = cut_lineage(nearest_within(rest, right, key, payload, radius, size, at, to), "near")
         found = near if found is None else found.unionByName(near)
         if radius >= farthest_m:
             return found
-        rest = rest.join(near.select(key), key, "left_anti")
+        rest = cut_lineage(rest.join(near.select(key), key, "left_anti"), "rest")
         if rest.isEmpty():
             return found
         radius *= 4

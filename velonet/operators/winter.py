@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velonet import constants as C
@@ -27,6 +27,15 @@ def parallel_share(samples: DataFrame, cycleways: DataFrame, folded: bool = Fals
     return share.withColumn("beside", F.col("share") >= C.PARALLEL_SHARE)
 
 
+def parallel_samples(points: DataFrame, key: str, pos: str, metres: float = C.PARALLEL_STEP) -> DataFrame:
+    """(key, k, lon, lat, heading): the middles of every so many segments of each line (key, pos from 0, lon, lat, length), about one in ``metres``."""
+    w = Window.partitionBy(key).orderBy(pos)
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    step = F.greatest(F.lit(1), F.floor(n / F.greatest(F.lit(1.0), F.bround(F.col("length") / metres)))).cast("long")
+    seg = points.withColumns({"_lon2": F.lead("lon").over(w), "_lat2": F.lead("lat").over(w), "_step": step}).filter(F.col("_lon2").isNotNull() & (F.col(pos) % F.col("_step") == 0))
+    return seg.select(key, F.col(pos).alias("k"), ((F.col("lon") + F.col("_lon2")) / 2).alias("lon"), ((F.col("lat") + F.col("_lat2")) / 2).alias("lat"), geo.bearing("lon", "lat", "_lon2", "_lat2").alias("heading"))
+
+
 def winter_claims(samples: DataFrame, vertices: DataFrame, lengths: DataFrame, share: float = C.WINTER_SHARE_MIN) -> DataFrame:
     """(edge, tier, metres): edges that samples (sample, lon, lat, heading, tier) claim.
 

@@ -13,6 +13,7 @@ from velonet.functions import geo, profile, tags, text
 from velonet.operators import evaluate, network, routing, search, signals, spatial, winter
 from velonet.operators import profile as lines
 from velonet.plans.derived import SQL, Derived, _bearing, _case, _distance
+from velonet.sources.shared import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,22 +188,22 @@ def register_anchor(d):
 
 @query(f"""
 , reach(start, node, m) using key (start, node) as (
-  select node, node, 0e0 from node where node % 50 = 0 union
+  select node, node, 0e0 from node union
   select s.start, h.head, min(s.m + h.length) from reach s join (select a as tail, b as head, length from seg union all select b, a, length from seg) h on h.tail = s.node
   left join recurring.reach r on r.start = s.start and r.node = h.head where s.m + h.length <= 240 and (r.m is null or s.m + h.length < r.m) group by s.start, h.head)
 select start, node, round(m, 3) as metres from reach""")
 def bounded_walk(d):
     arcs = network.both_ways(d.segment, ["length"]).select("tail", "head", "length")
-    starts = d.node.filter("node % 50 = 0").select(F.col("node").alias("start"))
+    starts = d.node.select(F.col("node").alias("start"))
     return signals.walk(arcs, starts).select("start", "node", r("metres").alias("metres"))
 
 
 @query("""
 , light as (select node, lon, lat from node where kind = 1)
-select node from light l where node % 2 = 0 and not exists (select 1 from light o where o.node < l.node and o.node % 2 = 0 and """ + _distance("o.lon", "o.lat", "l.lon", "l.lat") + """ < 30)""")
+select node from light l where not exists (select 1 from light o where o.node < l.node and """ + _distance("o.lon", "o.lat", "l.lon", "l.lat") + """ < 30)""")
 def suppress_lights(d):
     """On this grid no rival has a rival of its own, so one round decides and SQL can say it."""
-    rows = d.node.filter("kind = 1 and node % 2 = 0").withColumn("roads", F.array().cast("array<long>"))
+    rows = d.node.filter("kind = 1").withColumn("roads", F.array().cast("array<long>"))
     return signals.suppress_near(rows)
 
 
@@ -235,8 +236,7 @@ select node, round(cost, 3) as seconds from least""")
 def sssp_true_cost(d):
     """Least true seconds from junction 0 to every junction, without turns."""
     states = routing.priced(d.edge, d.node, MODEL, TASTE)
-    graph, _ = routing.load(states, d.node, MODEL, TASTE, turns=False)
-    return routing.least_costs(graph, d.node.filter("node = 0").select(F.col("node").alias("source"))).select("node", r("seconds").alias("seconds"))
+    return routing.costs(states, d.node, d.node.filter("node = 0").select(F.col("node").alias("source")), MODEL, TASTE, turns=False).select("node", r("seconds").alias("seconds"))
 
 
 @query(_TURN_SQL + """
@@ -247,12 +247,11 @@ def sssp_true_cost(d):
 select head as node, round(min(cost), 3) as seconds from least join state using (state) where head <> 0 group by head union all select 0, 0e0""")
 def sssp_turn_aware(d):
     states = routing.priced(d.edge, d.node, MODEL, TASTE)
-    graph, _ = routing.load(states, d.node, MODEL, TASTE)
-    return routing.least_costs(graph, d.node.filter("node = 0").select(F.col("node").alias("source"))).select("node", r("seconds").alias("seconds"))
+    return routing.costs(states, d.node, d.node.filter("node = 0").select(F.col("node").alias("source")), MODEL, TASTE).select("node", r("seconds").alias("seconds"))
 
 
 def _routed(d, limit: int):
-    states = routing.priced(d.edge, d.node, MODEL, TASTE).persist()
+    states = cut_lineage(routing.priced(d.edge, d.node, MODEL, TASTE), "priced")
     graph, metres = routing.load(states, d.node, MODEL, TASTE)
     return routing.routes(graph, metres, d.trip, limit), states
 
@@ -268,8 +267,8 @@ def route_rollup(d):
 def route_alternatives(d):
     paths, states = _routed(d, C.ALTERNATIVES)
     rolled = routing.roll_up(paths, states, MODEL, d.node)
-    best = rolled.groupBy("pair").agg(F.min("seconds").alias("quickest"))
-    return rolled.join(best, "pair").select("pair", "rank", r("metres").alias("metres"), r("seconds").alias("seconds"), r(F.col("seconds") - F.col("quickest")).alias("slower"))
+    rows = evaluate.beside_first(rolled.select("pair", "rank", "metres", "seconds"))
+    return rows.select("pair", "rank", *(r(c).alias(c) for c in ("metres", "seconds", "longer", "slower")), "label")
 
 
 @query()
@@ -280,11 +279,10 @@ def route_steps(d):
 
 def _trip_edges(d) -> DataFrame:
     """Each trip's own first hop and the rung below: a path SQL can name."""
-    # the SQL of these queries takes every 97th order
-    return d.trip.filter("pair % 97 = 0").join(d.edge, d.trip["start"] == d.edge["a"]).select("pair", F.col("edge_id").alias("edge"), "length", "traffic", "class", "unpaved", "shared", "grade")
+    return d.trip.join(d.edge, d.trip["start"] == d.edge["a"]).select("pair", F.col("edge_id").alias("edge"), "length", "traffic", "class", "unpaved", "shared", "grade")
 
 
-_HOPS = ", hop as (select o_orderkey as pair, edge_id as edge, length, traffic, class, unpaved, shared, grade from orders join edge on edge.a = o_custkey where o_orderkey % 97 = 0)"
+_HOPS = ", hop as (select o_orderkey as pair, edge_id as edge, length, traffic, class, unpaved, shared, grade from orders join edge on edge.a = o_custkey)"
 
 
 @query(_HOPS + " select edge, count(*) as trips from hop group by edge order by trips desc, edge limit 12")
@@ -416,28 +414,36 @@ def poi_kind(d):
 
 def _asked(d) -> DataFrame:
     n, name = F.col("n_nationkey"), F.lower("n_name")
-    words = F.when(n % 4 == 0, F.substring(name, 1, 3)).when(n % 4 == 1, F.concat(name, F.lit(" vay 1"))).when(n % 4 == 2, F.concat(name, F.lit("  TOOLO "))).otherwise("katu")
+    words = F.when(n % 4 == 0, F.substring(name, 1, 3)).when(n % 4 == 1, F.concat(name, F.lit(" vay 1"))).when(n % 4 == 2, F.concat(name, F.lit("  TOOLO "))).when(n % 8 == 7, "Stree").otherwise("katu")
     return d.table("nation").select(n.cast("long").alias("query"), words.alias("text"))
 
 
+def _roads(d) -> DataFrame:
+    """Named segments, each at its first end; ``seq`` is the edge."""
+    seq = F.col("a") * 2 + F.when(F.col("b") - F.col("a") == 1, 0).otherwise(1)
+    return d.segment.filter("name <> ''").select(F.col("name").alias("street"), F.col("lon_a").alias("lon"), F.col("lat_a").alias("lat"), seq.alias("seq"))
+
+
 _SEARCH_SQL = _ADDRESS_SQL + """
-, asked as (select n_nationkey as query, case n_nationkey % 4 when 0 then substr(lower(n_name), 1, 3) when 1 then lower(n_name) || ' vay' when 2 then lower(n_name) || ' toolo' else 'katu' end as q, case when n_nationkey % 4 = 1 then '1' else '' end as num from nation),
-f_place as (select place.*, translate(lower(name), 'äåöéè', 'aaoee') as f from place),
-street as (select street, arg_min(lon, number) as lon, arg_min(lat, number) as lat, count(*) as doors, translate(lower(street), 'äåöéè', 'aaoee') as f from address group by street),
-ph as (select query, case when f = q then 0 when starts_with(f, q) then 2 else 4 end as cls, rank as k1, length(f) as k2, '' as k5, place as k3, 0 as k4, name as label, lon, lat from asked join f_place on contains(f, q) where num = ''),
-sh as (select query, num, street, f, lon, lat, starts_with(f, q) as pre, coalesce(sum(case when starts_with(f, q) then 1 else 0 end) over (partition by query order by street rows between unbounded preceding and 1 preceding), 0) as hits from asked join street on contains(f, q)),
-dh as (select s.query, s.num, s.street, s.f, s.pre, s.lon as slon, s.lat as slat, a.number, a.lon, a.lat, row_number() over (partition by s.query, s.street order by a.number) as k4
+, asked as (select n_nationkey as query, case n_nationkey % 4 when 0 then substr(lower(n_name), 1, 3) when 1 then lower(n_name) || ' vay' when 2 then lower(n_name) || ' toolo' else case when n_nationkey % 8 = 7 then 'stree' else 'katu' end end as q, case when n_nationkey % 4 = 1 then '1' else '' end as num from nation),
+f_place as (select place.*, translate(lower(name), 'äåöéè', 'aaoee') as f, b.street as beside from place left join
+  (select * from (select p.place, a.street, row_number() over (partition by p.place order by """ + _distance("p.lon", "p.lat", "a.lon", "a.lat") + """, a.street, a.number) as k from place p, address a where """ + _distance("p.lon", "p.lat", "a.lon", "a.lat") + """ < 250) where k = 1) b using (place)),
+doored as (select street, arg_min(lon, number) as lon, arg_min(lat, number) as lat, count(*) as doors from address group by street),
+road as (select name as street, arg_min(lon_a, a * 2 + case when b - a = 1 then 0 else 1 end) as lon, arg_min(lat_a, a * 2 + case when b - a = 1 then 0 else 1 end) as lat from segment where name <> '' group by name),
+street as (select street, coalesce(o.lon, r.lon) as lon, coalesce(o.lat, r.lat) as lat, coalesce(doors, 0) as doors, translate(lower(street), 'äåöéè', 'aaoee') as f from doored o full join road r using (street)),
+ph as (select query, case when f = q then 0 when starts_with(f, q) then 2 else 4 end as cls, rank as k1, length(f) as k2, '' as k5, place as k3, 0 as k4, name as label, """ + _case({k: f"'{v}'" for k, v in C.KIND_LABELS.items()}, 'kind', f"'{C.DEFAULT_LABEL}'") + """ || case when coalesce(beside, '') <> '' then ' · ' || beside else '' end as detail, lon, lat from asked join f_place on contains(f, q) where num = ''),
+sh as (select query, num, street, f, lon, lat, doors, starts_with(f, q) as pre, coalesce(sum(case when starts_with(f, q) then 1 else 0 end) over (partition by query order by street rows between unbounded preceding and 1 preceding), 0) as hits from asked join street on contains(f, q)),
+dh as (select s.query, s.num, s.street, s.f, s.pre, s.doors, s.lon as slon, s.lat as slat, a.number, a.lon, a.lat, row_number() over (partition by s.query, s.street order by a.number) as k4
        from sh s left join address a on a.street = s.street and (s.num = '' or starts_with(a.number, s.num)) where s.hits < 200),
-st as (select query, case when pre then 1 else 3 end as cls, 0 as k1, length(f) as k2, street as k5, 0 as k3, k4, case when number is not null then street || ' ' || number else street end as label, coalesce(lon, slon) as lon, coalesce(lat, slat) as lat from dh where k4 <= case when num = '' then 1 else 7 end),
+st as (select query, case when pre then 1 else 3 end as cls, 0 as k1, length(f) as k2, street as k5, 0 as k3, k4, case when number is not null then street || ' ' || number else street end as label, case when number is not null then 'Osoite' when doors > 0 then 'Katu' else 'Tie' end as detail, coalesce(lon, slon) as lon, coalesce(lat, slat) as lat from dh where k4 <= case when num = '' then 1 else 7 end),
 hit as (select *, row_number() over (partition by query order by cls, k1, k2, k5, k3, k4) as rank from (select * from ph union all select * from st))"""
 
 
-@query(_SEARCH_SQL + " select query, rank, cls, label, round(lon, 6) as lon, round(lat, 6) as lat from hit where rank <= 7")
+@query(_SEARCH_SQL + " select query, rank, cls, label, detail, round(lon, 6) as lon, round(lat, 6) as lat from hit where rank <= 7")
 def search_rank(d):
     address = search.addresses(d.door)
-    roads = d.door.limit(0).select("street", "lon", "lat", "seq")
-    hits = search.search(_asked(d), d.place.withColumn("street", F.lit("")), search.streets(address, roads), address)
-    return hits.select("query", F.col("rank").cast("long").alias("rank"), "cls", "label", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    hits = search.search(_asked(d), search.place_context(d.place, address), search.streets(address, _roads(d)), address)
+    return hits.select("query", F.col("rank").cast("long").alias("rank"), "cls", "label", "detail", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query(_SEARCH_SQL + """
@@ -446,7 +452,7 @@ best as (select t.query, min(case when """ + _distance("t.lon", "t.lat", "h.lon"
 select count(*) as queries, round(avg(case when rank <= 1 then 1e0 else 0e0 end), 6) as top1, round(avg(case when rank <= 3 then 1e0 else 0e0 end), 6) as top3, round(avg(case when rank is not null then 1e0 else 0e0 end), 6) as in_list from best""")
 def search_recall(d):
     address = search.addresses(d.door)
-    hits = search.search(_asked(d), d.place.withColumn("street", F.lit("")), search.streets(address, d.door.limit(0).select("street", "lon", "lat", "seq")), address)
+    hits = search.search(_asked(d), d.place.withColumn("street", F.lit("")), search.streets(address, _roads(d)), address)
     nation = d.table("nation").select(F.col("n_nationkey").cast("long").alias("query"), "n_name")
     truth = d.place.join(F.broadcast(nation), F.col("name").startswith(F.col("n_name"))).groupBy("query").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
     return search.recall(truth, hits).select("queries", *(F.round(c, 6).alias(c) for c in ("top1", "top3", "in_list")))
@@ -513,7 +519,7 @@ def resample_line(d):
 , line as (select a * 2 + case when b - a = 1 then 0 else 1 end as edge, lon_a, lat_a, lon_b, lat_b, length, bearing from segment),
 h as (select edge, degrees(atan2((lon_b - lon_a) * cos(radians((lat_a + lat_b) / 2)) * 111320e0, (lat_b - lat_a) * 110540e0)) as x, * exclude (edge) from line),
 l as (select *, case when x < 0 then x + 180 when x >= 180 then x - 180 else x end as lb from h),
-s as (select edge * 1000 + k as sample, edge % 3 as tier, lon_a + k * 1e0 / n * (lon_b - lon_a) + 2e-5 as lon, lat_a + k * 1e0 / n * (lat_b - lat_a) as lat, lb from (select *, greatest(floor({_distance("lon_a", "lat_a", "lon_b", "lat_b")} / 10), 1) as n from l where edge % 3 > 0), generate_series(0, 20) g(k) where k < n),
+s as (select edge * 1000 + k as sample, edge % 2 + 1 as tier, lon_a + k * 1e0 / n * (lon_b - lon_a) + 2e-5 as lon, lat_a + k * 1e0 / n * (lat_b - lat_a) as lat, lb from (select *, greatest(floor({_distance("lon_a", "lat_a", "lon_b", "lat_b")} / 10), 1) as n from l), generate_series(0, 20) g(k) where k < n),
 near as (select s.sample, s.tier, l.edge, {_distance("s.lon", "s.lat", "l.lon_a", "l.lat_a")} as m from s join l on abs(l.lon_a - s.lon) < 1e-3 and abs(l.lat_a - s.lat) < 1e-3 where least(abs(s.lb - l.lb) % 180, 180 - abs(s.lb - l.lb) % 180) <= 35),
 own as (select *, row_number() over (partition by sample order by m, edge) as k from near where m < 14),
 c as (select edge, count(*) * 10e0 as metres, max(tier) as tier from own where k = 1 group by edge)
@@ -522,8 +528,8 @@ def winter_claim(d):
     rows = d.segment.withColumn("edge", F.col("a") * 2 + F.when(F.col("b") - F.col("a") == 1, 0).otherwise(1))
     heading = geo.line_bearing("lon_a", "lat_a", "lon_b", "lat_b")
     point = F.array(F.struct(F.lit(0).alias("pos"), F.col("lon_a").alias("lon"), F.col("lat_a").alias("lat")), F.struct(F.lit(1).alias("pos"), F.col("lon_b").alias("lon"), F.col("lat_b").alias("lat")))
-    drawn = rows.filter("edge % 3 > 0").select("edge", F.explode(point).alias("p")).select("edge", "p.*")
-    samples = lines.sample_headings(drawn, "edge", "pos").select((F.col("edge") * 1000 + F.col("k")).alias("sample"), (F.col("edge") % 3).alias("tier"), (F.col("lon") + 2e-5).alias("lon"), "lat", "heading")
+    drawn = rows.select("edge", F.explode(point).alias("p")).select("edge", "p.*")
+    samples = lines.sample_headings(drawn, "edge", "pos").select((F.col("edge") * 1000 + F.col("k")).alias("sample"), (F.col("edge") % 2 + 1).alias("tier"), (F.col("lon") + 2e-5).alias("lon"), "lat", "heading")
     vertices = rows.select("edge", F.col("lon_a").alias("to_lon"), F.col("lat_a").alias("to_lat"), heading.alias("bearing"))
     return winter.winter_claims(samples, vertices, rows.select("edge", "length"))
 
@@ -580,3 +586,6 @@ def profile_token(d):
     cost = F.when(s % 3 == 0, "S-4").otherwise(F.concat(F.lit("S"), (20 + s % 50).cast("string")))
     m = profile.decode(F.concat(taste, F.lit("q7"), cost))
     return d.table("supplier").select(s.alias("id"), m["traffic"].alias("traffic"), m["signal_delay_s"].alias("signal_delay"))
+
+
+from velonet.plans import details  # noqa: E402, F401  registers further queries here

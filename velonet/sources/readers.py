@@ -114,6 +114,11 @@ def sections(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "section string, i long, value double")
 
 
+def missing_sheets(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """(sheet) of those wanted that are not there yet."""
+    return wanted.select("sheet").exceptAll(present.select("sheet").distinct()).distinct()
+
+
 def map_sheets(bounds: DataFrame, slack: float = 500.0) -> DataFrame:
     """(sheet): names of the 24 x 12 km sheets that boxes (west, south, east, north, metres of the national grid) touch, widened by ``slack``.
 

@@ -31,6 +31,22 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The table of an iterative job: each write drops the one before, which nothing reads any more."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = f"{shared_folder(spark)}/{self.name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        if before:
+            where = spark._jvm.org.apache.hadoop.fs.Path(before)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
 def on_worker_path(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, whatever the working directory.
 
