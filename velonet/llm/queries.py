@@ -96,7 +96,7 @@ def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with l as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
-c as (select doc_id, lines, list_transform(lines, x -> len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+'))) as n from l),
+c as (select doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+'))) as n from l),
 w as (select doc_id, unnest(generate_series(1, len(lines))) as pos, lines, n from c),
 m as (select doc_id, pos, lines, case when n[pos] >= 50 then 1 when n[pos] + n[pos + 1] >= 50 then 2 when pos + 2 <= len(lines) then 3 end as many from w),
 k as (select doc_id, pos, many, lines[pos : pos + many - 1] as run from m where many is not null),
