@@ -279,9 +279,10 @@ cost2 as (select state, fast + rough + walk + climb + sig * 30 + cro * 2 + bar *
 tasted as (select s.state, s.tail, s.head, c.true_s, c.search_s, case n.kind when 3 then 90e0 when 2 then 45e0 when 1 then 2e0 else 0e0 end + n.barrier * 6e0 as node_s from state s join cost2 c using (state) join node n on n.node = s.tail)"""
 
 
-@query(_TASTED_SQL + " select state, round(true_s, 4) as true_s, round(search_s, 4) as search_s, round(node_s, 4) as node_s from tasted")
+@query(_TASTED_SQL + " select state, round(true_s + 1e-9, 5) as true_s, round(search_s + 1e-9, 5) as search_s, round(node_s, 5) as node_s from tasted")
 def tasted_costs(d):
-    return _tasted(d).select("state", *(F.round(c, 4).alias(n) for c, n in (("true_s", "true_s"), ("search_s", "search_s"), ("node_search", "node_s"))))
+    # halves at the last digit would depend on the order of the sums
+    return _tasted(d).select("state", *(F.round(F.col(c) + 1e-9, 5).alias(n) for c, n in (("true_s", "true_s"), ("search_s", "search_s"), ("node_search", "node_s"))))
 
 
 @query(_TURN_SQL + _TASTED_SQL + """
