@@ -8,8 +8,9 @@
 3. Tiles: a linked pair must share a shingle among the rarest
    ``n - ceil(t n) + 1`` of either set. Representatives sharing such a shingle
    but still in different groups meet in a tile of (shingle, size band). Crowded tiles first link their rows to a hub of each,
-   as in 2, for as long as that joins groups. Tiles of up to ``SMALL`` rows name their
-   pairs, larger ones are compared in blocks; parity bitmaps, as wide as the band's sets ask for, bound the overlap
+   as in 2, for as long as that joins a fair share of them. Tiles of up to ``SMALL`` rows name their
+   pairs, larger ones are compared in blocks, where a row
+   brings the earlier ones of its tiles, so that a pair is named in the first tile that it shares only; parity bitmaps, as wide as the band's sets ask for, bound the overlap
    from above: ``|A & B| <= (|A| + |B| - popcount(a ^ b)) / 2``.
 4. What survives is settled by intersecting the sorted hash arrays, and the
    links of 2 and 4 make the components.
@@ -45,6 +46,8 @@ STAR_KEYS = 4
 BLOCK, SMALL = 1024, 16
 #: Rows from which a tile is a crowd, and how many rounds of hubs crowds get before their pairs are compared.
 CROWD, ROUNDS = 64, 3
+#: Another round follows while the last one linked at least one in so many of the crowds' rows; its cost is that of all tiles.
+CROWD_SHARE = 10
 _U = np.uint64
 
 
@@ -148,8 +151,22 @@ def _prefixes(width: int, lower: bool, percent: int, frequent):
     return run
 
 
-def tile_pairs(n: np.ndarray, label: np.ndarray, visitor: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one tile that sizes and bitmaps can't rule out; each is of different labels."""
+def _unmet(own: np.ndarray, seen: list[np.ndarray], j: np.ndarray) -> np.ndarray:
+    """The rows of j whose earlier tiles are none of ``own`` (both sorted)."""
+    if not len(own):
+        return j
+    theirs = [seen[k] for k in j]
+    flat = np.concatenate(theirs)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    row = np.repeat(np.arange(len(j)), [len(x) for x in theirs])
+    return j[np.bincount(row[hit], minlength=len(j)) == 0]
+
+
+def tile_pairs(n: np.ndarray, label: np.ndarray, visitor: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one tile that sizes and bitmaps can't rule out; each is of different labels.
+
+    With ``seen``, the sorted earlier tiles of each row, a pair that meets in one of them is left to the first.
+    """
     size = min(map(len, maps))
     bits = np.stack([fold(x, size) for x in maps])
     words = bits.view(np.uint64) if size % 8 == 0 else bits
@@ -163,6 +180,8 @@ def tile_pairs(n: np.ndarray, label: np.ndarray, visitor: np.ndarray, maps: list
         apart = np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64)
         most = (n[j] + n[i] - apart) // 2
         j = j[100 * most >= percent * (n[j] + n[i] - most)]
+        if seen is not None and len(j):
+            j = _unmet(seen[i], seen, j)
         out_a.append(np.full(len(j), i))
         out_b.append(j)
     none = np.zeros(0, np.int64)
@@ -200,7 +219,9 @@ def _tiles(percent: int):
             ids, block = np.asarray(t["id"]), np.asarray(t["block"])
             bi, bj = t["bi"][0].as_py(), t["bj"][0].as_py()
             maps = [np.frombuffer(x, np.uint8) for x in t["bitmap"].to_pylist()]
-            a, b = tile_pairs(np.asarray(t["n"]), np.asarray(t["label"]), np.asarray(t["visitor"]).astype(bool), maps, block == bi, block == bj, percent)
+            lists = t["seen"].combine_chunks()
+            seen = np.split(np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))[:-1])
+            a, b = tile_pairs(np.asarray(t["n"]), np.asarray(t["label"]), np.asarray(t["visitor"]).astype(bool), maps, block == bi, block == bj, percent, seen)
             a, b = ids[a], ids[b]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
@@ -322,7 +343,8 @@ def _components(docs: DataFrame, width: int, percent: int, lower: bool) -> DataF
     for turn in range(1, ROUNDS + 2):
         near = connected_components(links)
         rows, tile = _live(prefixes, near, percent)
-        if turn > ROUNDS or tile.filter(F.col("c") > CROWD).isEmpty():
+        crowded = tile.filter(F.col("c") > CROWD).agg(F.sum("c")).first()[0] or 0
+        if turn > ROUNDS or not crowded:
             break
         # crowds first: one hub a tile, another in each round, so that a crowd of near copies becomes a group without its pairs
         crowd = rows.join(tile.filter(F.col("c") > CROWD), ["token", "band"])
@@ -331,8 +353,8 @@ def _components(docs: DataFrame, width: int, percent: int, lower: bool) -> DataF
         asked = crowd.join(hub, ["token", "band"]).filter("label <> hub.label and " + near_size.format("n", "hub.n"))
         asked = asked.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
         more = materialise(verify(materialise(bounded(asked), "jaccard-asked"), docs, width, lower, percent), "jaccard-more")
-        if more.isEmpty():
-            break
+        if more.count() * CROWD_SHARE < crowded:
+            break  # these pairs meet again in the tiles below
         links = links.unionByName(more)
 
     few = rows.join(tile.filter(F.col("c") <= SMALL), ["token", "band"]).groupBy("token", "band").agg(F.collect_list(F.struct("id", "n", "label", "visitor")).alias("x"))
@@ -341,9 +363,11 @@ def _components(docs: DataFrame, width: int, percent: int, lower: bool) -> DataF
     met = bounded(met)
 
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    large = rows.join(tile.filter(F.col("c") > SMALL), ["token", "band"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = rows.join(tile.filter(F.col("c") > SMALL), ["token", "band"]).groupBy("id", "band").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first("visitor").alias("visitor"), F.sort_array(F.collect_list(F.struct("token", "c"))).alias("own"))
+    large = large.join(maps, "id").select("*", F.posexplode("own").alias("before", "tile")).select("id", "band", "n", "label", "visitor", "bitmap", "tile.token", "tile.c", F.expr("slice(own.token, 1, before)").alias("seen"))
+    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    large = large.join(maps, "id").select("token", "band", "bi", "bj", "block", "id", F.col("n").cast("long").alias("n"), "label", "visitor", "bitmap")
+    large = large.select("token", "band", "bi", "bj", "block", "id", F.col("n").cast("long").alias("n"), "label", "visitor", "bitmap", "seen")
     crowd = large.repartition("token", "band", "bi", "bj").sortWithinPartitions("token", "band", "bi", "bj").mapInArrow(_tiles(percent), "a long, b long")
     met = met.unionByName(crowd).distinct()
     met = materialise(met, "jaccard-met")
