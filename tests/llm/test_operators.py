@@ -412,3 +412,26 @@ def test_words_match_the_pattern():
     assert got == [WORDS.findall(t) for t in texts]
     a, b = tk.Words([b"Ab cD \xc3\x84"]).hashes(True), tk.Words([b"ab cd \xc3\x84"]).hashes()
     assert (a == b).all() and tk.Words([b"abcdefg abcd"]).hashes(limit=4).tolist()[0] == tk.Words([b"abcd"]).hashes(limit=4)[0]
+
+
+def test_tiles_name_a_pair_in_its_first_tile_only():
+    import numpy as np
+
+    from velonet.llm import jaccard
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(3)]
+    sets = [np.union1d(sets[k % 3][: 36 + k % 4], sets[k % 3][:30]) for k in range(24)]
+    maps = [jaccard.parity_bitmap(x) for x in sets]
+    n, label, home = np.array([len(x) for x in sets]), np.arange(24), np.zeros(24, bool)
+    within = {tile: np.flatnonzero(rng.random(24) < 0.7) for tile in range(5)}
+    once, often = [], set()
+    for tile, rows in within.items():
+        seen = [np.array([e for e in range(tile) if r in within[e]], np.int64) for r in rows]
+        all_rows = np.ones(len(rows), bool)
+        args = (n[rows], label[rows], home[rows], [maps[r] for r in rows], all_rows, all_rows, 80)
+        for given, into in ((seen, once.append), (None, often.add)):
+            a, b = jaccard.tile_pairs(*args, given)
+            for pair in {(min(p), max(p)) for p in zip(rows[a].tolist(), rows[b].tolist())}:
+                into(pair)
+    assert often and len(once) == len(set(once)) and set(once) == often
