@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velonet.llm import bm25, bpe, decontam, jaccard, linededup, secrets, store, substrings, toxicity, urlfilter, warc
+from velonet.llm import bm25, bpe, decontam, filteraudit, jaccard, linededup, ranking, runindex, secrets, store, substrings, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,10 +151,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(n(k).alias(f"n_{k}") for k in secrets.KINDS), "base_sha256", spans.alias("spans"), *(F.array_join(F.col("secrets")[k].cast("array<string>"), ",").alias(v) for k, v in (("class", "classes"), ("repos", "repos"), ("owners", "owners"))))
 
 
+def op11_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(table(spark, sf_dir, "documents"), k=100, with_text=False).drop("kept")
+
+
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries():
-    own = (op1_warc, op2_bpe, op3_jaccard, op4_urlfilter, op5_decontamination, op6_linededup, op7_bm25, op8_substrings, op9_toxicity, op10_secrets)
+    own = (op1_warc, op2_bpe, op3_jaccard, op4_urlfilter, op5_decontamination, op6_linededup, op7_bm25, op8_substrings, op9_toxicity, op10_secrets, op11_runindex, op12_filteraudit, op13_ranking)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_urlfilter": OP4_SQL, "op6_linededup": OP6_SQL, "op7_bm25": bm25.SQL, "op8_substrings": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op4_urlfilter": OP4_SQL, "op6_linededup": OP6_SQL, "op7_bm25": bm25.SQL, "op8_substrings": OP8_SQL, "op11_runindex": runindex.SQL, "op12_filteraudit": filteraudit.SQL, "op13_ranking": ranking.SQL}
