@@ -336,8 +336,9 @@ def remove_repeats(docs: DataFrame, k: int = 100, gram: int = 16, with_text: boo
 
 SQL = r"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-p as (select doc_id, unnest(generate_series(0, len(x) // 2 - 100)) as start, x from d where len(x) >= 200),
-k as (select doc_id, start, substring(x, 2 * start + 1, 200) as w from p),
+p as (select doc_id, c, substring(x, 2 * c + 1, 2 * 599) as y from (select doc_id, x, unnest(generate_series(0, len(x) // 2 - 100, 500)) as c from d where len(x) >= 200)),
+o as (select doc_id, c, y, unnest(generate_series(0, least(499, len(y) // 2 - 100))) as i from p),
+k as (select doc_id, c + i as start, substring(y, 2 * i + 1, 200) as w from o),
 r as (select doc_id, start, row_number() over (partition by w order by doc_id, start) as n from k),
 m as (select doc_id, start, start - lag(start) over (partition by doc_id order by start) as gap from r where n > 1),
 b as (select doc_id, start, sum(case when gap <= 100 then 0 else 1 end) over (partition by doc_id order by start) as span from m),
