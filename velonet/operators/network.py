@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velonet import constants as C
 from velonet.functions import geo
-from velonet.sources.shared import Rounds, cut_lineage
+from velonet.sources.shared import Parts, cut_lineage
 
 
 def dedupe_segments(raw: DataFrame) -> DataFrame:
@@ -101,18 +101,35 @@ def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str, pos
     return sums.groupBy(*keys).agg(F.max_by(value, F.struct("_w", -F.col("_p"))).alias(name))
 
 
+def bearings_by_node(segments: DataFrame) -> DataFrame:
+    """(node, cycle, road): headings of the dedicated ways and of the others that leave each node, sorted."""
+    halves = both_ways(segments, ["bearing_a", "class"])
+    away = F.when(F.col("along"), F.col("bearing_a")).otherwise(F.pmod(F.col("bearing_a") + 180.0, F.lit(360.0)))
+    dedicated = F.col("class").bitwiseAND(C.DEDICATED) != 0
+    own = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("b"))))
+    return halves.select(F.col("tail").alias("node"), away.alias("b"), dedicated.alias("d")).groupBy("node").agg(own(F.col("d")).alias("cycle"), own(~F.col("d")).alias("road"))
+
+
 def contract(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between the nodes that stay (degree other than two): one row per chain of segments.
+    """The edges of ``contract_with_shapes``."""
+    return contract_with_shapes(segments, nodes)[0]
+
+
+def contract_with_shapes(segments: DataFrame, nodes: DataFrame, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges between the nodes that stay (degree other than two), one row per chain of segments, and what lies inside each.
 
     segments: as from ``dedupe_segments``, with bearing_a and bearing_b (headings leaving a and reaching b, along a to b).
-    nodes: node, kind, barrier; optional ``inside`` (nodes outside always stay). Lengths add up; traffic, name and
+    nodes: node, kind, barrier, for shapes lon and lat; optional ``inside``: a chain that leaves is dropped, as no node outside stays;
+    degrees count all segments, so a junction with an arm outside is one. Lengths add up; traffic, name and
     class are those that carry most metres, grade that of most rough metres; any network bit stays; a direction
-    stays if every segment has it; delays inside are counts. A chain is written from its end with the smaller id
+    stays if every segment has it (edges without any go unless ``closed``); delays inside are counts. A chain is written from its end with the smaller id
     (of a loop, from its smaller neighbour); (a, b, first) is its key, ``build_network`` numbers edges by it.
+    The second table has (a, b, first, pos, node, lon, lat, kind): the nodes inside, pos from 0 in the edge's direction.
     """
     degree = degrees(segments)
     flags = degree.join(nodes, "node", "left")
-    inside = F.coalesce(F.col("inside"), F.lit(True)) if "inside" in nodes.columns else F.lit(True)
+    bounded = "inside" in nodes.columns
+    inside = F.coalesce(F.col("inside"), F.lit(True)) if bounded else F.lit(True)
     interior = flags.filter((F.col("degree") == 2) & inside).select("node", F.coalesce("kind", F.lit(0)).alias("kind"), F.coalesce("barrier", F.lit(0)).alias("barrier"))
     spots = chain_positions(segments, interior)
     keep = [c for c in segments.columns if c not in ("a", "b")]
@@ -125,7 +142,16 @@ def contract(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     one = F.col("start_tail") < F.col("last.head")
     loop = (F.col("start_tail") == F.col("last.head")) & (F.col("start_head") <= F.col("last.tail"))
     ends = ends.filter(F.col("last.ends") & (one | loop)).select(*chain, F.col("last.head").alias("end"))
+    if bounded:
+        outside = flags.filter(~inside)
+        for end in ("start_tail", "end"):
+            ends = ends.join(outside.select(F.col("node").alias(end)), end, "left_anti")
     rows = cut_lineage(rows.join(ends, chain), "contract")
+    shapes = rows.filter("kind is not null").select(F.col("start_tail").alias("a"), F.col("end").alias("b"), F.col("start_head").alias("first"), "pos", F.col("head").alias("node"), "kind", *chain)
+    if {"lon", "lat"} <= set(nodes.columns):
+        shapes = shapes.join(nodes.select("node", "lon", "lat"), "node")
+    else:
+        shapes = shapes.withColumns({c: F.lit(None).cast("double") for c in ("lon", "lat")})
     along = F.col("along")
     forward, backward = F.when(along, F.col("forward")).otherwise(F.col("backward")), F.when(along, F.col("backward")).otherwise(F.col("forward"))
     turned = lambda x: F.pmod(F.col(x) + 180.0, F.lit(360.0))
@@ -152,11 +178,16 @@ def contract(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     ]
     for m in modes:
         sums = sums.join(m, chain, "left")
-    return sums.filter("access > 0").select(
+    if not closed:
+        open_ = sums.filter("access > 0")
+        shapes = shapes.join(open_.select(*chain), chain, "left_semi")
+        sums = open_
+    edges = sums.select(
         F.col("start_tail").alias("a"), F.col("end").alias("b"), F.col("start_head").alias("first"), "length", "unpaved", "shared", "lit", "signals", "crossings", "barriers",
         "access", F.coalesce("traffic", F.lit(0)).alias("traffic"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("grade", F.lit(0)).alias("grade"),
         (F.col("base") + F.when(F.col("_network"), C.NETWORK).otherwise(0)).alias("class"), "segments", "bearing_a", "bearing_b",
     )
+    return edges, shapes.select("a", "b", "first", "pos", "node", "lon", "lat", "kind")
 
 
 def number_rows(df: DataFrame, order: list[str], name: str, partitions: int = 64) -> DataFrame:
@@ -169,23 +200,24 @@ def number_rows(df: DataFrame, order: list[str], name: str, partitions: int = 64
 
 
 def build_network(segments: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) to route on: contracted, numbered from 0 in order of (a, b, first), and cut to the largest strongly connected component."""
-    edges = cut_lineage(number_rows(contract(segments, nodes), ["a", "b", "first"], "edge_id"), "edges")
+    """(edges, nodes) to route on: contracted, cut to the largest strongly connected component, and numbered from 0 in order of (a, b, first).
+
+    Nodes keep their ids, and get the ``degree`` they have among all segments: neither contraction nor the cut makes turns free.
+    """
+    edges = cut_lineage(contract(segments, nodes).withColumn("edge_id", F.lit(0)), "edges")
     kept = cut_lineage(largest_scc(directed_states(edges).select("tail", "head")), "component")
-    return restrict(edges, kept), nodes.join(kept, "node", "left_semi")
+    edges = number_rows(restrict(edges.drop("edge_id"), kept), ["a", "b", "first"], "edge_id")
+    return edges, nodes.join(kept, "node", "left_semi").join(degrees(segments), "node")
 
 
 def reachable(arcs: DataFrame, pivot: int, max_rounds: int = 100_000) -> DataFrame:
     """Nodes reached from ``pivot`` over arcs (tail, head), itself included; one join a round."""
-    spark = arcs.sparkSession
-    one = spark.createDataFrame([(pivot,)], "node long")
-    all_, next_ = Rounds("reach"), Rounds("reach")
-    seen, fresh = all_.write(one), next_.write(one)
+    known = Parts("reach", lambda t: t.distinct())
+    fresh = known.add(arcs.sparkSession.createDataFrame([(pivot,)], "node long"))
     for _ in range(max_rounds):
-        fresh = next_.write(arcs.join(fresh.withColumnRenamed("node", "tail"), "tail").select(F.col("head").alias("node")).distinct().join(seen, "node", "left_anti"))
+        fresh = known.add(arcs.join(fresh.withColumnRenamed("node", "tail"), "tail").select(F.col("head").alias("node")).distinct().join(known.table(), "node", "left_anti"))
         if fresh.isEmpty():
-            return seen
-        seen = all_.write(seen.unionByName(fresh))
+            return known.table()
     raise RuntimeError(f"reachability did not end in {max_rounds} rounds")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from velonet import constants as C
 from velonet.functions import geo
 from velonet.operators.spatial import grid_join, nearest_within
-from velonet.sources.shared import Rounds, cut_lineage
+from velonet.sources.shared import Parts, Rounds, cut_lineage
 
 
 def crosses(a: str, b: str):
@@ -62,17 +62,15 @@ def match_register(register: DataFrame, nodes: DataFrame, near: float = C.REGIST
 
 def walk(arcs: DataFrame, starts: DataFrame, budget: float = C.WALK_M, max_rounds: int = 10_000) -> DataFrame:
     """(start, node, metres): nodes within ``budget`` metres of riding of each start, undirected arcs (tail, head, length)."""
-    all_, fresh = Rounds("walk"), Rounds("walk")
-    begin = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("metres"))
-    seen, frontier = all_.write(begin), fresh.write(begin)
+    known = Parts("walk", lambda t: t.groupBy("start", "node").agg(F.min("metres").alias("metres")))
+    frontier = known.add(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("metres")))
     for _ in range(max_rounds):
-        step = frontier.join(arcs, frontier["node"] == arcs["tail"]).select("start", F.col("head").alias("node"), (F.col("metres") + F.col("length")).alias("m")).filter(F.col("m") <= budget)
-        step = step.groupBy("start", "node").agg(F.min("m").alias("m"))
-        better = step.join(seen, ["start", "node"], "left").filter(F.col("metres").isNull() | (F.col("m") < F.col("metres"))).select("start", "node", F.col("m").alias("metres"))
-        frontier = fresh.write(better)
+        step = frontier.join(arcs, frontier["node"] == arcs["tail"]).select("start", F.col("head").alias("node"), (F.col("metres") + F.col("length")).alias("metres")).filter(F.col("metres") <= budget)
+        step = step.groupBy("start", "node").agg(F.min("metres").alias("metres"))
+        before = known.table().select(F.col("start").alias("_s"), F.col("node").alias("_n"), F.col("metres").alias("_m"))
+        frontier = known.add(step.join(before, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")) & (F.col("_m") <= F.col("metres")), "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = all_.write(seen.unionByName(frontier).groupBy("start", "node").agg(F.min("metres").alias("metres")))
+            return known.merged()
     raise RuntimeError("the walk did not end")
 
 
@@ -80,7 +78,7 @@ def claim(register: DataFrame, candidates: DataFrame, near: float = C.REGISTER_N
     """Register points take lights in order of (city, lon, lat), cycleways before roads: (point, kind, node, outcome).
 
     register: point, city, lon, lat. candidates: point, kind ('cycleway' or 'road'), node, metres, lit, grounded, and whether
-    the point may reach it (walkable) and it is crossed there (crossing). A light already lit in reach is ``known``; else
+    the point may reach it (walkable) and it is crossed there (crossing); no other node counts. A light already lit within ``near`` is ``known``; else
     the nearest grounded node within ``near``, or ``far``, is claimed and counts as lit for later points.
 
     A claim changes what later points see, but only those that share a candidate with it, directly or through others: each such
@@ -100,11 +98,9 @@ def claim(register: DataFrame, candidates: DataFrame, near: float = C.REGISTER_N
                 if len(known):
                     out.append((point, kind, int(known["node"].iloc[0]), "known"))
                     continue
-                grounded = at[at["grounded"]]
-                pick = grounded[grounded["metres"] <= near].head(1)
-                pick = pick if len(pick) else grounded[grounded["metres"] <= far].head(1)
-                if len(pick) and bool(pick["walkable"].iloc[0]) and bool(pick["crossing"].iloc[0]):
-                    node = int(pick["node"].iloc[0])
+                grounded = ok[ok["grounded"] & (ok["metres"] <= far)]  # in order: the nearest is within ``near`` if any is
+                if len(grounded):
+                    node = int(grounded["node"].iloc[0])
                     lit.setdefault(kind, set()).add(node)
                     out.append((point, kind, node, "claimed"))
         return pd.DataFrame(out, columns=["point", "kind", "node", "outcome"])

@@ -588,4 +588,4 @@ def profile_token(d):
     return d.table("supplier").select(s.alias("id"), m["traffic"].alias("traffic"), m["signal_delay_s"].alias("signal_delay"))
 
 
-from velonet.plans import details  # noqa: E402, F401  registers further queries here
+from velonet.plans import details, graphs  # noqa: E402, F401  registers further queries here

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,45 @@ class Rounds:
         return spark.read.schema(df.schema).parquet(self.path)
 
 
+class Parts:
+    """What an iterative job knows so far: each round appends a table, and only every few rounds all are merged into one.
+
+    ``merge`` makes one row of what several rounds say of a key.
+    """
+
+    def __init__(self, name: str, merge: Callable[[DataFrame], DataFrame], every: int = 12):
+        self.name, self.merge, self.every = name, merge, every
+        self.parts: list[tuple[str, DataFrame]] = []
+
+    def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
+        path = f"{shared_folder(df.sparkSession)}/{self.name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the newest part; it stays readable for the next round whatever is merged."""
+        if len(self.parts) >= self.every:
+            spark, old = df.sparkSession, self.parts
+            new = self._write(df)  # reads the old parts
+            self.parts = [self._write(self.merge(self.table())), new]
+            for path, _ in old:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        else:
+            self.parts.append(self._write(df))
+        return self.parts[-1][1]
+
+    def table(self) -> DataFrame:
+        """All parts; a key may have a row in several."""
+        out = self.parts[0][1]
+        for _, part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def merged(self) -> DataFrame:
+        return self.merge(self.table())
+
+
 def on_worker_path(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, whatever the working directory.
 
