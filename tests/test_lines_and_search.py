@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,26 @@ def test_ranks_without_a_group_span_ranges(spark):
     df = spark.range(2000).select((F.col("id") * 7919 % 500).cast("double").alias("x"))
     got = {r.x: r.k for r in evaluate.mean_ranks(df, "x", "k").distinct().collect()}
     assert got == {float(v): 4 * v + 2.5 for v in range(500)}
+
+
+def test_substrings_through_grams(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abå ", k=rng.randrange(1, 9))) for _ in range(300)] + [""]
+    asked = [(i, "".join(rng.choices("abå", k=rng.randrange(1, 6)))) for i in range(60)] + [(60, ""), (61, "zzz"), (62, "z")]
+    got = {tuple(r) for r in search.containing(spark.createDataFrame(asked, "query long, part string"), spark.createDataFrame([(n,) for n in names], "f string")).collect()}
+    assert got == {(i, n) for i, part in asked if part for n in names if part in n}
+
+
+def test_neither_search_nor_rasters_compare_all_with_all(spark):
+    i = spark.createDataFrame([(1, "Puisto", "park", 0, 24.9, 60.1, "")], "place long, name string, kind string, rank int, lon double, lat double, street string")
+    s = spark.createDataFrame([("Puistotie", 24.9, 60.1, 0)], "street string, lon double, lat double, doors int")
+    d = spark.createDataFrame([("Puistotie", "1", 24.9, 60.1)], "street string, number string, lon double, lat double")
+    hits = search.search(spark.createDataFrame([(1, "puis")], "query long, text string"), i, s, d)
+    tiles = spark.createDataFrame([(0, 0, 24.0, 61.0, 0.5, 2, 2), (1, 1, 24.9, 60.2, 0.1, 3, 3)], "tile int, rank int, west double, north double, size double, rows int, cols int")
+    cells = spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 1, None), (1, 0, 1, 7.0)], "tile int, row int, col int, height double")
+    at = lines.sample_heights(spark.createDataFrame([(1, 24.1, 60.9), (2, 25.05, 60.15), (3, 24.95, 60.1), (4, 30.0, 50.0)], "id int, lon double, lat double"), tiles, cells)
+    for df in (hits, at):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.id: r.height for r in at.collect()} == {1: 1.0, 2: 7.0, 3: None, 4: None}
+    assert [r.label for r in hits.orderBy("rank").collect()] == ["Puistotie 1", "Puisto"]

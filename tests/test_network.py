@@ -156,3 +156,26 @@ def test_build_numbers_and_cuts(spark):
     e, n = network.build_network(segments(spark, BASE), spark.createDataFrame([(i, 0, 0) for i in range(1, 6)], "node long, kind int, barrier int"))
     rows = e.collect()
     assert len({r.edge_id for r in rows}) == len(rows) and {r.node for r in n.collect()} >= {x for r in rows for x in (r.a, r.b)}
+
+
+def test_many_equal_components_and_long_rings(spark):
+    """Every component by colouring against plain reachability: many equal ones, a long ring, one-way links, nodes alone."""
+    pairs = [(10 * i + j, 10 * i + (j + 1) % 3) for i in range(12) for j in range(3)] + [(10 * i, 10 * i + 10) for i in range(11)]
+    pairs += [(1000 + i, 1000 + (i + 1) % 60) for i in range(60)] + [(5, 5), (2000, 1000), (1030, 2001), (111, 1003)]
+    got = {r.node: r.component for r in network.strong_components(arcs(spark, pairs)).collect()}
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+
+    def reach(n):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in ahead.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
+    all_ = {n: reach(n) for n in {x for p in pairs for x in p}}
+    assert got == {n: min(m for m in s if n in all_[m]) for n, s in all_.items()}
+    assert {r.node for r in network.scc_by_joins(arcs(spark, pairs)).collect()} == set(range(1000, 1060))

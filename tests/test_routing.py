@@ -246,3 +246,21 @@ def test_side_tables_default_to_flat_and_bare(spark):
     assert both == {0: (5.0, 1.0, 0), 1: (0.0, 0.0, 2)}
     states = {r.state: r.true_s for r in routing.priced(routing.with_sides(edges, climb, winter), nodes, K.CostModel(), K.Taste()).collect()}
     assert states[0] - states[1] == pytest.approx((5 * 2 - 1 * 0.4) - max(0, 1 * 2 - 5 * 0.4)) and states[2] == pytest.approx(states[3])
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(3, 1), (8, 3)])
+def test_routes_by_joins_equal_the_search(spark, monkeypatch, seed, limit):
+    """With lengths that never tie, the same edges in the same order: first routes, alternatives, equal ends, and ends off the graph."""
+    KIND.clear()
+    KIND.update({5: 2, 6: 1, 9: 3})
+    g = build(spark, GRID, random_grid(seed))
+    g = (g[0].withColumn("length", F.col("length") + F.col("edge_id") * 0.0137), g[1])
+    model, taste = K.CostModel(), K.Taste({"turn": 2, "traffic": 2, "unpaved": 1.5})
+    states = routing.cut_lineage(routing.priced(*g, model, taste), "priced")
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(0, 15), (3, 12), (12, 3), (0, 15), (7, 7), (1, 99), (10, 0)])], "pair long, start long, goal long")
+    rows = lambda: {tuple(r) for r in routing.routed(states, g[1], pairs, model, taste, limit).select("pair", "rank", "pos", "state", F.round("swing", 6)).collect()}
+    want = rows()
+    monkeypatch.setattr(routing, "MAX_ARCS", 3)
+    assert rows() == want and {r[0] for r in want} >= {0, 1, 2, 3, 4} and 5 not in {r[0] for r in want}
+    assert limit == 1 or max(r[1] for r in want) > 1
+    KIND.clear()

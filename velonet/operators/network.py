@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velonet import constants as C
 from velonet.functions import geo
-from velonet.sources.shared import Parts, cut_lineage
+from velonet.sources.shared import Parts, Rounds, cut_lineage
 
 
 def dedupe_segments(raw: DataFrame) -> DataFrame:
@@ -235,36 +235,76 @@ def largest_scc(arcs: DataFrame) -> DataFrame:
     return scc_by_joins(arcs)
 
 
-def scc_by_joins(arcs: DataFrame, trims: int = 10) -> DataFrame:
-    """``largest_scc`` without any task holding the graph.
+def scc_by_joins(arcs: DataFrame) -> DataFrame:
+    """``largest_scc`` without any task holding the graph."""
+    whole = cut_lineage(strong_components(arcs), "scc")
+    best = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return whole.join(F.broadcast(best.select("component")), "component").select("node")
 
-    Nodes without a way in or out are components of their own and go first (``trims`` times). Then what a pivot reaches and is reached
-    by is a component; it is taken out, until what is left can't hold a larger one. In a road network the first pivot is enough.
+
+def greatest_reaching(arcs: DataFrame, nodes: DataFrame, salt: int, max_rounds: int = 10_000) -> DataFrame:
+    """(node, top): of all nodes that reach each node, itself included, that with the greatest hash.
+
+    A round takes the tops of the nodes just before, and then the top's own top: what reaches the top reaches the node. So tops jump
+    further each round, rather than a step at a time.
+    """
+    rank = lambda c: F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("node"))
+    rounds = Rounds("tops")
+    now, before = rounds.write(nodes.select("node", rank("node").alias("top"))), None
+    for _ in range(max_rounds):
+        seen = now.agg(F.sum(F.xxhash64("node", "top.node").cast("decimal(38,0)"))).first()[0]
+        if seen == before:
+            return now.select("node", F.col("top.node").alias("top"))
+        before = seen
+        met = arcs.join(now.withColumnRenamed("node", "tail"), "tail").groupBy(F.col("head").alias("node")).agg(F.max("top").alias("met"))
+        one = now.join(met, "node", "left").select("node", F.greatest("top", F.coalesce("met", "top")).alias("top"))
+        jump = now.select(F.col("node").alias("_n"), F.col("top").alias("further"))
+        one = one.withColumn("_n", F.col("top.node")).join(jump, "_n", "left").select("node", F.greatest("top", F.coalesce("further", "top")).alias("top"))
+        now = rounds.write(one)
+    raise RuntimeError(f"tops did not settle in {max_rounds} rounds")
+
+
+def strong_components(arcs: DataFrame, trims: int = 3, max_rounds: int = 1000) -> DataFrame:
+    """(node, component): the least node of each node's strongly connected component, by colouring.
+
+    Nodes without a way in or out are components of their own. Of the others, all nodes with one top (``greatest_reaching``) are reached by it;
+    those of them that reach it back, within their colour, are its component. Each round so finishes a component for every top at once;
+    the hash is another one each round, so that no order of ids makes it slow.
     """
     arcs = cut_lineage(arcs.select("tail", "head").distinct(), "scc")
-    ends = arcs.select(F.explode(F.array("tail", "head")).alias("node"))
-    best_n, best_least = 1, ends.agg(F.min("node")).first()[0]
-    best = ends.distinct().filter(F.col("node") == best_least) if best_least is not None else ends
-    while True:
-        arcs = arcs.filter("tail <> head")
+    nodes = cut_lineage(arcs.select(F.explode(F.array("tail", "head")).alias("node")).distinct(), "scc")
+    arcs = arcs.filter("tail <> head")
+    found = []
+    for salt in range(max_rounds):
         for _ in range(trims):
-            before = arcs.count()
-            live = arcs.select(F.col("tail").alias("node")).intersect(arcs.select(F.col("head").alias("node")))
-            arcs = cut_lineage(restrict(arcs.select(F.col("tail").alias("a"), F.col("head").alias("b")), live).select(F.col("a").alias("tail"), F.col("b").alias("head")), "scc")
-            if arcs.count() == before:
+            ends = arcs.select(F.col("tail").alias("node")).intersect(arcs.select(F.col("head").alias("node")))
+            alone = cut_lineage(nodes.join(ends, "node", "left_anti").select("node", F.col("node").alias("component")), "scc")
+            if alone.isEmpty():
                 break
-        ends = arcs.select(F.explode(F.array("tail", "head")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        if ends.count() < best_n or arcs.isEmpty():
-            return best
-        pivot = ends.orderBy(F.desc("n"), "node").first()["node"]
-        back = arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head"))
-        own = cut_lineage(reachable(arcs, pivot).join(reachable(back, pivot), "node", "left_semi"), "scc")
-        n, least = own.agg(F.count(F.lit(1)), F.min("node")).first()
-        if (n, -least) > (best_n, -best_least):
-            best, best_n, best_least = own, n, least
-        for end in ("tail", "head"):
-            arcs = arcs.join(own.select(F.col("node").alias(end)), end, "left_anti")
-        arcs = cut_lineage(arcs, "scc")
+            found.append(alone)
+            nodes = cut_lineage(nodes.join(ends, "node", "left_semi"), "scc")
+            arcs = cut_lineage(_between(arcs, nodes), "scc")
+        if nodes.isEmpty():
+            break
+        tops = cut_lineage(greatest_reaching(arcs, nodes, 2 * salt), "scc")
+        inside = arcs.join(tops.withColumnRenamed("node", "tail"), "tail").join(tops.select(F.col("node").alias("head"), F.col("top").alias("other")), "head").filter("top = other")
+        back = greatest_reaching(cut_lineage(inside.select(F.col("head").alias("tail"), F.col("tail").alias("head")), "scc"), nodes, 2 * salt)
+        own = back.withColumnRenamed("top", "reached").join(tops, "node").filter("reached = top")
+        least = own.groupBy("top").agg(F.min("node").alias("component"))
+        done = cut_lineage(own.join(cut_lineage(least, "scc"), "top").select("node", "component"), "scc")
+        found.append(done)
+        nodes = cut_lineage(nodes.join(done, "node", "left_anti"), "scc")
+        arcs = cut_lineage(_between(arcs, nodes), "scc")
+    else:
+        raise RuntimeError(f"components did not end in {max_rounds} rounds")
+    out = found[0] if found else nodes.select("node", F.col("node").alias("component"))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _between(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return arcs.join(nodes.select(F.col("node").alias("tail")), "tail", "left_semi").join(nodes.select(F.col("node").alias("head")), "head", "left_semi").select("tail", "head")
 
 
 def _scc_task(batches):

@@ -98,12 +98,18 @@ def sample_headings(points: DataFrame, key: str, pos: str, step: float = C.WINTE
 def sample_heights(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> DataFrame:
     """points with ``height``: the raster cell they fall into, of the first tile (by ``rank``) that covers them; else null.
 
-    tiles: tile, rank, west, north, size (degrees a cell), rows, cols. cells: tile, row, col, height. Tiles are few and broadcast.
+    tiles: tile, rank, west, north, size (degrees a cell), rows, cols. cells: tile, row, col, height. Points and tiles meet by the squares of a grid as wide
+    as the largest tile, of which a tile touches four at most.
     """
+    side = tiles.agg(F.max(F.greatest("rows", "cols") * F.col("size"))).first()[0] or 1.0
+    square = lambda c: F.floor(c / F.lit(side))
+    span = lambda a, b: F.explode(F.sequence(square(a), square(b)))
+    spread = tiles.withColumn("_x", span(F.col("west"), F.col("west") + F.col("cols") * F.col("size"))).withColumn("_y", span(F.col("north") - F.col("rows") * F.col("size"), F.col("north")))
     x, y = F.floor((F.col("lon") - F.col("west")) / F.col("size")), F.floor((F.col("north") - F.col("lat")) / F.col("size"))
     inside = (x >= 0) & (x < F.col("cols")) & (y >= 0) & (y < F.col("rows"))
     key = [c for c in points.columns]
-    met = points.join(tiles, (F.col("lon") >= F.col("west")) & (F.col("lat") <= F.col("north"))).filter(inside).select(*key, "tile", "rank", y.alias("row"), x.alias("col"))
+    keyed = points.withColumn("_x", square(F.col("lon"))).withColumn("_y", square(F.col("lat")))
+    met = keyed.join(spread, ["_x", "_y"]).filter(inside).select(*key, "tile", "rank", y.alias("row"), x.alias("col"))
     first = met.join(cells, ["tile", "row", "col"]).filter("height is not null and not isnan(height)").groupBy(*key).agg(F.min_by("height", "rank").alias("height"))
     return points.join(first, key, "left")
 

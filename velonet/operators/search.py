@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velonet import constants as C
 from velonet.functions import geo, tags, text
 from velonet.operators.spatial import grid_join, nearest
+from velonet.sources.shared import cut_lineage
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -58,25 +59,51 @@ def place_context(places: DataFrame, address: DataFrame, radius: float = C.PLACE
     return places.join(best.select("place", F.col("b.street").alias("street")), "place", "left")
 
 
+def _pieces(c, n: int):
+    """All strings of ``n`` characters in a column, none if it is shorter."""
+    last = F.length(c) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(texts: DataFrame) -> DataFrame:
+    """(f, gram) of every folded text ``f``, once: its strings of one, two and three characters."""
+    f = F.col("f")
+    return texts.select("f").distinct().select("f", F.explode(F.array_distinct(F.concat(*(_pieces(f, n) for n in (1, 2, 3))))).alias("gram"))
+
+
+def containing(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, f): the texts (f) that contain what each query asks (query, part).
+
+    Whatever contains a part contains its rarest string of three characters, so that is joined and the rest verified; a part of fewer characters is a gram
+    itself. A query meets as many texts as hold its rarest gram, not all.
+    """
+    index = cut_lineage(gram_index(texts), "grams")
+    part = F.col("part")
+    grams = asked.filter(part != "").select("query", "part", F.explode(F.array_distinct(F.when(F.length(part) >= 3, _pieces(part, 3)).otherwise(F.array(part)))).alias("gram"))
+    often = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = grams.join(often, "gram", "left").groupBy("query", "part").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(index, "gram").filter(F.col("f").contains(part)).select("query", "f")
+
+
 def search(queries: DataFrame, places: DataFrame, streets_: DataFrame, doors: DataFrame, limit: int = C.SEARCH_LIMIT) -> DataFrame:
     """(query, rank, label, detail, lon, lat) of up to ``limit`` hits of each query (query, text).
 
     places: place, name, kind, rank (of the kind), lon, lat, street. streets: street, lon, lat, doors. doors: street, number, lon,
     lat. Classes in order: place equal, street prefix, place prefix, street inside, place inside. With a house number only streets
-    count and doors must begin with it. The index is matched by a broadcast of the queries while they are few, else
-    by the join Spark picks; there is no equality to join on, as in any substring scan.
+    count and doors must begin with it. Names are matched through an index of their grams (``containing``).
     """
     number, street = F.col("_number"), F.col("_street")
     q = queries.filter(F.length(F.trim("text")) >= C.SEARCH_LEAST).withColumns(dict(zip(("_s", "_n"), text.query_parts(F.col("text")))))
     q = q.select("query", text.fold(F.col("_s")).alias("_street"), text.fold(F.col("_n")).alias("_number")).filter(street != "")
 
-    p = places.withColumn("_f", text.fold(F.col("name")))
+    p, s = places.withColumn("_f", text.fold(F.col("name"))), streets_.withColumn("_f", text.fold(F.col("street")))
+    names = p.select(F.col("_f").alias("f")).unionByName(s.select(F.col("_f").alias("f")))
+    met = q.join(cut_lineage(containing(q.select("query", street.alias("part")), names), "met").withColumnRenamed("f", "_f"), "query")
     cls = F.when(F.col("_f") == street, 0).when(F.col("_f").startswith(street), 2).otherwise(4)
-    hits = q.filter(number == "").join(p, F.col("_f").contains(street))
+    hits = met.filter(number == "").join(p, "_f")
     place_hits = hits.select("query", cls.alias("cls"), F.col("rank").alias("k1"), F.length("_f").alias("k2"), F.col("place").cast("long").alias("k3"), F.lit(0).alias("k4"), F.col("name").alias("label"), text.place_detail(F.col("kind"), F.col("street")).alias("detail"), "lon", "lat")
 
-    s = streets_.withColumn("_f", text.fold(F.col("street")))
-    hits = q.join(s, F.col("_f").contains(street)).withColumn("_prefix", F.col("_f").startswith(street))
+    hits = met.join(s, "_f").withColumn("_prefix", F.col("_f").startswith(street))
     # the scan runs in street order and ends with the 200th prefix hit
     before = Window.partitionBy("query").orderBy("street").rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_hits", F.coalesce(F.sum(F.col("_prefix").cast("int")).over(before), F.lit(0))).filter(F.col("_hits") < C.PREFIX_HITS)

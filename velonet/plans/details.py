@@ -327,7 +327,6 @@ def built_routes(d):
     edges = routing.with_sides(edges, climb, edges.select("edge_id", (i % 3).cast("int").alias("tier")))
     model = K.CostModel()
     states = routing.cut_lineage(routing.priced(edges, nodes, model, TASTED), "priced")
-    graph, metres = routing.load(states, nodes, model, TASTED)
-    rolled = routing.roll_up(routing.routes(graph, metres, d.trip), states, model, nodes)
+    rolled = routing.roll_up(routing.routed(states, nodes, d.trip, model, TASTED), states, model, nodes)
     return rolled.select("pair", "edges", r("metres").alias("metres"), r("seconds").alias("seconds"), "turns", "lefts", "signals")
 

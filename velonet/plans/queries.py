@@ -252,8 +252,7 @@ def sssp_turn_aware(d):
 
 def _routed(d, limit: int):
     states = cut_lineage(routing.priced(d.edge, d.node, MODEL, TASTE), "priced")
-    graph, metres = routing.load(states, d.node, MODEL, TASTE)
-    return routing.routes(graph, metres, d.trip, limit), states
+    return routing.routed(states, d.node, d.trip, MODEL, TASTE, limit), states
 
 
 @query()
