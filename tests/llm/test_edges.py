@@ -144,3 +144,27 @@ def test_groups_hold_every_text():
     assert [t for _, part in tk.groups(iter([batch])) for t in part] == [t.encode() for t in texts]
     assert all(sum(map(len, part)) <= tk.GROUP_BYTES or len(part) == 1 for _, part in tk.groups(iter([batch])))
     assert pages is not None
+
+
+def test_training_passes_over_what_does_not_fit():
+    """A text over the bound doesn't take those after it along."""
+    assert toxicity.fitting(np.array([50, 10, 20, 5, 9]), 40).tolist() == [False, True, True, True, False]
+    assert toxicity.fitting(np.array([], np.int64), 40).tolist() == []
+
+
+def test_thresholds_of_small_languages_lean_on_their_own_rows(spark):
+    """Few toxic rows of a language move its threshold, and none leave it at that of all."""
+    rng = random.Random(9)
+    words = {"en": ["the", "of", "and", "to", "in", "is"], "de": ["der", "die", "und", "das", "ist", "nicht"]}
+    rows, marks = [], []
+    for i in range(900):
+        own, toxic = words["de" if i % 9 == 0 else "en"], i % 6 == 0
+        text = rng.choices(own, k=12) + ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(12)] + (["vileword", "hatefulstuff"] if toxic else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert len(set(model.cut.tolist())) > 1
+    held = {r.doc_id: r.score for r in toxicity.scores(df, model).collect()}
+    assert sum((held[i] >= 0.5) == bool(t) for i, t in marks) >= 0.97 * len(marks)
