@@ -84,3 +84,17 @@ def test_usage_stream(spark, tmp_path):
     usage.start(s, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = sorted((r.edge, r.trips) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 1), (2, 2)]  # the last window is still open
+
+
+def test_digests_know_rows_not_partitions(spark, tmp_path):
+    rows = [(i, f"n{i % 3}", {"k": str(i)}, [float(i)]) for i in range(50)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "edge_id long, name string, tags map<string,string>, xs array<double>")
+    again = df.orderBy("name", "edge_id").repartition(7).select("xs", "tags", "name", "edge_id")
+    assert sinks.digest(df) == sinks.digest(again) != sinks.digest(df.filter("edge_id > 0")) and sinks.digest(df) != sinks.digest(df.unionByName(df.limit(1)))
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.write({"edges": df.repartition(2)}, a, "graph", {"edges": ["edge_id"]})
+    sinks.write({"edges": df.repartition(9)}, b, "graph", {"edges": ["edge_id"]})
+    assert sinks.read(spark, a, "graph")[1]["digests"] == sinks.read(spark, b, "graph")[1]["digests"]
+    df.withColumn("name", F.lit("x")).write.mode("overwrite").parquet(f"{b}/edges")
+    with pytest.raises(ValueError, match="other rows"):
+        sinks.read(spark, b, "graph")
