@@ -3,10 +3,12 @@
 import hashlib
 import random
 import string
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
+import pytest
 from pyspark.sql import functions as F
 from test_operators import docs, pages
 
@@ -168,3 +170,17 @@ def test_thresholds_of_small_languages_lean_on_their_own_rows(spark):
     assert len(set(model.cut.tolist())) > 1
     held = {r.doc_id: r.score for r in toxicity.scores(df, model).collect()}
     assert sum((held[i] >= 0.5) == bool(t) for i, t in marks) >= 0.97 * len(marks)
+
+
+@pytest.mark.parametrize("hot", [0, 1, 5, 10**6])
+def test_windows_of_hot_minimisers(spark, hot):
+    """Whatever counts as hot, the same words go: many texts around one passage, copies, and runs of one word."""
+    rng = random.Random(4)
+    word = lambda n: ["".join(rng.choices("abcdef", k=2)) for _ in range(n)]
+    passage = word(12)
+    texts = [" ".join(word(rng.randrange(0, 9)) + passage[rng.randrange(3) : rng.randrange(9, 13)] + word(rng.randrange(0, 9))) for _ in range(80)]
+    texts += texts[:7] + ["la " * 30, "la " * 9, " ".join(passage)]
+    k, w = 6, [t.split() for t in texts]
+    seen = Counter(tuple(x[i : i + k]) for x in w for i in range(len(x) - k + 1))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(docs(spark, texts), k, 2, hot=hot).collect()}
+    assert got == {d: (len(x), len({j for i in range(len(x) - k + 1) if seen[tuple(x[i : i + k])] > 1 for j in range(i, i + k)})) for d, x in enumerate(w)}

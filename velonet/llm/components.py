@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Self-edges, repeated edges and either direction are fine; an empty input gives an empty table.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    rounds = Rounds("cc")
+    rounds, least_of = Rounds("cc"), Rounds("cc-least")
     now = rounds.write(now)
     before = None
     for _ in range(max_rounds):
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written first: a join of two plain exchanges can be split where a node has many links
+        least = least_of.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))

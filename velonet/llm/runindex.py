@@ -24,7 +24,6 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from velonet.llm import idfilter, store
 from velonet.llm import textkit as tk
-from velonet.llm.store import materialise
+from velonet.llm.store import materialise, settled
 from velonet.operators.network import number_rows
 
 _U = np.uint64
@@ -293,14 +292,6 @@ def _kept(k: int, with_text: bool):
     return run
 
 
-def _settled(df: DataFrame, name: str) -> DataFrame:
-    """Written; what its shuffles left on the executors' disks is given back rather than kept until the driver runs short of memory."""
-    out = materialise(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def remove_repeats(docs: DataFrame, k: int = 100, gram: int = 16, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256): ``kept`` is what is left (null without ``with_text``).
 
@@ -315,20 +306,20 @@ def remove_repeats(docs: DataFrame, k: int = 100, gram: int = 16, with_text: boo
         return cut.join(own.select("doc_id", "own_id"), "doc_id").select(F.col("own_id").alias("doc_id"), *cut.columns[1:])
     mark = store.made()
     often = docs.mapInArrow(_minimisers(k, gram), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    box = spark.sparkContext.broadcast(idfilter.build(_settled(often, "runindex-often")))
+    box = spark.sparkContext.broadcast(idfilter.build(settled(often, "runindex-often")))
     alive = materialise(docs.mapInArrow(_alive(k, gram, box), _NARROW), "runindex-alive")
     strings = alive.groupBy("h", "pid").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count(F.lit(1)).alias("c"))
-    strings = _settled(strings.select("h", "pid", "first.*", "c"), "runindex-strings")
+    strings = settled(strings.select("h", "pid", "first.*", "c"), "runindex-strings")
     again = materialise(strings.filter("c > 1").select("h", "pid", F.col("doc_id").alias("first_id"), F.col("start").alias("first_start")), "runindex-again")
-    many = _settled(strings.groupBy("h").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1"), "runindex-many")
+    many = settled(strings.groupBy("h").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1"), "runindex-many")
     whole = alive.join(again, ["h", "pid"]).filter("doc_id <> first_id or start <> first_start").select("doc_id", "start", "n")
     cuts = strings.join(many, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "strings")).alias("cuts"))
-    packed = _settled(docs.join(cuts, "doc_id").mapInArrow(_packed(k, hot), "h long, pid long, doc_id long, start long, n int, packed binary"), "runindex-packed")
+    packed = settled(docs.join(cuts, "doc_id").mapInArrow(_packed(k, hot), "h long, pid long, doc_id long, start long, n int, packed binary"), "runindex-packed")
     met = packed.filter("packed is not null").repartition("h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(_indexed(k), _MARKS)
     single = packed.filter("packed is null").drop("packed")
     first = materialise(single.groupBy("h", "pid").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "pid", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start")), "runindex-windows")
     windows = single.join(first, ["h", "pid"]).filter("doc_id <> first_id or start <> first_start").select("doc_id", "start", "n")
-    marks = _settled(whole.unionByName(met).unionByName(windows), "runindex-marks")
+    marks = settled(whole.unionByName(met).unionByName(windows), "runindex-marks")
     store.clear(spark, mark)
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     return docs.join(marks, "doc_id", "left").mapInArrow(_kept(k, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

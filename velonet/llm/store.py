@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``materialise``, and what the shuffles before it left on the executors' disks is given back, rather than kept until the driver runs short of memory."""
+    out = materialise(df, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def made() -> int:
     """How many tables were written so far: a mark for ``clear``."""
     return len(_made)

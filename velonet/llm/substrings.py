@@ -13,8 +13,9 @@ form one super-k-mer.
 4. The repeated windows go back to all occurrences, and each document is cut once.
 
 Hot groups: occurrences of equal strings are counted before they move, so a bucket
-gets one string however many copies there are; joins back to the occurrences
-have a unique side, which adaptive execution splits.
+gets one string however many copies there are; a minimiser with over ``HOT`` super-k-mers
+deals out the windows of its different strings one by one under their own hash, counted before they move, so no
+bucket has more strings; joins back to the occurrences have a unique side, written first, which adaptive execution splits.
 
 Edge cases: null, empty and short texts (under ``k`` words) have no window and keep
 all their words. An empty table gives an empty table. Extra columns are ignored.
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velonet.llm import textkit as tk
-from velonet.llm.store import ids_repeat, materialise, renumbered
+from velonet.llm.store import ids_repeat, materialise, renumbered, settled
 
 _U = np.uint64
+#: Super-k-mers of a minimiser up to which its strings are one bucket.
+HOT = 4096
 
 
 def super_kmers(w: tk.Words, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -81,21 +84,24 @@ def _narrow(k: int, m: int):
 
 
 def _packed(k: int):
-    schema = pa.schema([("h", pa.int64()), ("pid", pa.int64()), ("c", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("pid", pa.int64()), ("c", pa.int64()), ("packed", pa.binary()), ("window", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in tk.groups(batches):
-            w = tk.Words(texts)
-            h, pid, c, packed = [], [], [], []
+            w, hashes = tk.Words(texts), None
+            rows: list[tuple] = []
             for d, cuts in enumerate(batch.column("cuts").to_pylist()):
                 for x in cuts:
                     i = w.first[d] + x["start"]
-                    begin, end = w.start[i], w.end[i + x["n"] + k - 2]
-                    h.append(x["h"])
-                    pid.append(x["pid"])
-                    c.append(x["c"])
-                    packed.append(w.blob[begin:end])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(pid, pa.int64()), pa.array(c, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+                    if not x["hot"]:
+                        rows.append((x["h"], x["pid"], x["c"], w.blob[w.start[i] : w.end[i + x["n"] + k - 2]], None, None))
+                        continue
+                    if hashes is None:
+                        gram, at = w.grams(w.hashes(), k)
+                        hashes = np.zeros(len(w.start), np.int64)
+                        hashes[at] = tk.signed(gram)
+                    rows += [(x["h"], x["pid"], x["c"], None, v, j) for j, v in enumerate(hashes[i : i + x["n"]].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
     return run
 
@@ -167,20 +173,24 @@ def _kept(k: int):
     return runner
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, m: int = 3, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 35, m: int = 3, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256): ``kept`` is what is left, words joined by one space (null without ``with_text``)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     if ids_repeat(docs):
         own = renumbered(docs)
-        cut = remove_repeats(own, k, m, with_text)
+        cut = remove_repeats(own, k, m, with_text, hot)
         return cut.join(own.select("doc_id", "own_id"), "doc_id").select(F.col("own_id").alias("doc_id"), *cut.columns[1:])
     narrow = materialise(docs.mapInArrow(_narrow(k, m), "h long, pid long, doc_id long, start int, n int"), "superkmers")
     # written first: a join of two plain exchanges can be split where a minimiser is hot
-    often = materialise(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "superkmers-often")
-    alive = materialise(narrow.join(often, "h"), "superkmers-alive")
-    exemplars = alive.groupBy("h", "pid").agg(F.min(F.struct("doc_id", "start", "n")).alias("x"), F.count(F.lit(1)).alias("c"))
-    cuts = exemplars.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.start", "x.n", "h", "pid", "c")).alias("cuts"))
-    packed = docs.join(cuts, "doc_id").mapInArrow(_packed(k), "h long, pid long, c long, packed binary")
-    hits = materialise(packed.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(k), "h long, pid long, hits array<int>"), "superkmers-hits")
+    often = settled(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", (F.col("c") > hot).alias("hot")), "superkmers-often")
+    alive = settled(narrow.join(often, "h"), "superkmers-alive")
+    exemplars = alive.groupBy("h", "pid", "hot").agg(F.min(F.struct("doc_id", "start", "n")).alias("x"), F.count(F.lit(1)).alias("c"))
+    cuts = exemplars.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.start", "x.n", "h", "pid", "c", "hot")).alias("cuts"))
+    packed = settled(docs.join(cuts, "doc_id").mapInArrow(_packed(k), "h long, pid long, c long, packed binary, window long, at int"), "superkmers-packed")
+    met = packed.filter("packed is not null").select("h", "pid", "c", "packed").repartition("h").sortWithinPartitions("h").mapInArrow(_counted(k), "h long, pid long, hits array<int>")
+    single = packed.filter("packed is null")
+    again = materialise(single.groupBy("h", "window").agg(F.sum("c").alias("s")).filter("s > 1").select("h", "window"), "superkmers-windows")
+    apart = single.join(again, ["h", "window"]).groupBy("h", "pid").agg(F.collect_list("at").alias("hits"))
+    hits = settled(met.unionByName(apart), "superkmers-hits")
     marks = alive.join(hits, ["h", "pid"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "hits")).alias("marks"))
     return docs.join(marks, "doc_id", "left").mapInArrow(_kept(k)(with_text), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
