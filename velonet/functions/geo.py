@@ -105,6 +105,8 @@ def cell_truncated(x, size: float) -> Column:
 # The reference ellipsoid, and central meridian, scale and false easting of the two national grids.
 ELLIPSOID = (6378137.0, 1 / 298.257222101)
 GRIDS = {3067: (27.0, 0.9996, 500_000.0), 3879: (25.0, 1.0, 25_500_000.0)}
+# Reference systems in degrees that count as those of the map.
+DEGREES = (4326, 4258)
 
 
 def _series() -> tuple[float, tuple[float, ...], tuple[float, ...]]:

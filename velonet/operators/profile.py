@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velonet import constants as C
 from velonet.functions import geo
+from velonet.sources import raster
 
 
 def gain_loss(heights, threshold: float = C.CLIMB_THRESHOLD):
@@ -114,6 +115,38 @@ def sample_heights(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> Dat
     return points.join(first, key, "left")
 
 
+def sample_raster(points: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """points (key, lon, lat) with ``height``: the cell of a raster they fall into, of the first file by name that has data there; else null.
+
+    Only blocks within the points' bounds are read, and a point meets one block of each file that covers it. ``key`` must tell points apart;
+    those without a place have no height. Raises where the files differ in reference system, or have one that ``geo`` can't project to.
+    """
+    spark = points.sparkSession
+    tiles = raster.tiles(spark, path)
+    crs, across, down = tiles.agg(F.first("crs"), F.max(F.col("cols") * F.col("dx")), F.max(F.col("rows") * F.col("dy"))).first()
+    if crs not in geo.GRIDS and crs not in geo.DEGREES:
+        raise ValueError(f"{path} is in {crs}, which is not projected to")
+    x, y = geo.to_grid("lon", "lat", crs) if crs in geo.GRIDS else (F.col("lon"), F.col("lat"))
+    at = points.select(*key, x.alias("_east"), y.alias("_north")).filter("_east is not null and _north is not null")
+    west, south, east, north = at.agg(F.min("_east"), F.min("_north"), F.max("_east"), F.max("_north")).first()
+    if west is None:
+        return points.withColumn("height", F.lit(None).cast("double"))
+    squares = lambda a, b, side: F.explode(F.sequence(F.floor(a / F.lit(side)), F.floor(b / F.lit(side))))
+    right, bottom = F.col("west") + F.col("cols") * F.col("dx"), F.col("north") - F.col("rows") * F.col("dy")
+    spread = tiles.withColumn("_x", squares(F.col("west"), right, across)).withColumn("_y", squares(bottom, F.col("north"), down))
+    at = at.withColumn("_x", F.floor(F.col("_east") / F.lit(across))).withColumn("_y", F.floor(F.col("_north") / F.lit(down)))
+    met = at.join(spread, ["_x", "_y"]).filter((F.col("_east") >= F.col("west")) & (F.col("_east") < right) & (F.col("_north") > bottom) & (F.col("_north") <= F.col("north")))
+    row = F.least(F.floor((F.col("north") - F.col("_north")) / F.col("dy")), F.col("rows") - 1)
+    col = F.least(F.floor((F.col("_east") - F.col("west")) / F.col("dx")), F.col("cols") - 1)
+    met = met.withColumn("_row", row).withColumn("_col", col)
+    block = lambda c, n: F.floor(F.col(c) / F.col(n)).cast("int")
+    inside = (F.col("_row") % F.col("block_rows")) * F.col("block_cols") + F.col("_col") % F.col("block_cols")
+    met = met.select(*key, "tile", "rank", block("_row", "block_rows").alias("block_row"), block("_col", "block_cols").alias("block_col"), inside.cast("int").alias("_i"))
+    cells = met.join(raster.blocks(spark, path, (west, south, east, north)), ["tile", "block_row", "block_col"]).select(*key, "rank", F.get("heights", F.col("_i")).cast("double").alias("height"))
+    first = cells.filter("not isnan(height)").groupBy(*key).agg(F.min_by("height", "rank").alias("height"))
+    return points.join(first, key, "left")
+
+
 def deltas(rows: DataFrame, key: str, pos: str, value: str, anchor: str) -> DataFrame:
     """Adds ``delta``: what each value adds to the one before; the first of a key adds to ``anchor``."""
     before = F.coalesce(F.lag(value).over(Window.partitionBy(key).orderBy(pos)), F.col(anchor))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from velonet.sources.shared import open_file
+
 #: Fixed values of the format: member types by number, and what a reader must understand.
 MEMBERS = ("node", "way", "relation")
 KNOWN = {"OsmSchema-V0.6", "DenseNodes"}
@@ -172,17 +174,10 @@ class Blobs(InputPartition):
     spans: list[tuple[int, int]]
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return store.open_input_file(inner)
-
-
 def index(path: str, most: int = PARTITION_BYTES) -> list[Blobs]:
     """Where the data blobs lie; only headers are read."""
     parts, held, size = [], [], 0
-    with _open(path) as f:
+    with open_file(path) as f:
         end, at = f.size(), 0
         while at < end:
             f.seek(at)
@@ -214,7 +209,7 @@ class PbfReader(DataSourceReader):
     def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, Blobs):  # a file without data
             return
-        with _open(partition.path) as f:
+        with open_file(partition.path) as f:
             for at, size in partition.spans:
                 f.seek(at)
                 yield from getattr(Block(blob(memoryview(f.read(size)))), self.kind)()

@@ -25,6 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _own
 
 
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str):
+    """A file to seek in: a local path, or a file:, hdfs: or s3: address."""
+    store, inner = _store(path)
+    return store.open_input_file(inner)
+
+
+def list_files(path: str, endings: tuple[str, ...]) -> list[str]:
+    """A file itself, or the files of a folder with one of the endings, by name."""
+    from pyarrow import fs
+
+    store, inner = _store(path)
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(inner)) if i.type == fs.FileType.File and i.base_name.lower().endswith(endings))
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write and read back: the plan starts anew, and any executor may be lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
