@@ -3,7 +3,8 @@
 ``write_captures`` writes a request, a response (or revisit) and a metadata record per
 capture through Spark's own text writer, so any store that Spark reaches will do. A
 record ends in two CR LF, which serve as the line separator; Content-Length alone
-decides where a payload ends when reading. Files are closed after ``FILE_RECORDS`` captures.
+decides where a payload ends when reading. Captures are written by classes of size (``SIZES``), each of which closes a file
+after so many that it holds ``FILE_BYTES`` of payload at most, or a single capture.
 
 ``read_records`` takes plain files, files of gzip members and whole-file gzip, as a stream
 through each file's bytes. ``assemble`` joins requests and metadata to their response,
@@ -13,7 +14,7 @@ record of the capture, and gives one nested row per capture.
 Edge cases: null html is an empty payload; null urls give an empty target. Payloads shorter than
 ``MIN_REVISIT`` bytes are always responses. Of equal payloads the largest page_id is the
 response. Records that name no capture are left out of ``assemble`` (``orphans`` lists them).
-Rows with a null page_id are not written. Where page ids repeat each row is a capture of its own, of equal payloads
+Rows with a null page_id are not written; an empty table gives an archive without records. Where page ids repeat each row is a capture of its own, of equal payloads
 one of those with the largest page_id is the response. Extra columns are ignored.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from velonet.llm.store import ids_repeat, materialise
 
 MIN_REVISIT = 1000
-FILE_RECORDS = 3000
+FILE_BYTES = 192 << 20
+#: Payload bytes at which the next class of captures begins.
+SIZES = (0, 1 << 16, 1 << 22)
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, type string, target string, concurrent array<string>, refers_to string, digest_header string, payload_bytes long, payload_digest string, payload binary"
@@ -60,6 +63,12 @@ def revisits(pages: DataFrame) -> DataFrame:
     return slim.join(kept, ["n", "sha"]).filter("_key <> refers_to").select("_key", "refers_to")
 
 
+def file_records(size: int) -> int:
+    """How many captures of the class that begins at ``size`` bytes make a file; of the last class one alone."""
+    after = [s for s in SIZES if s > size]
+    return max(1, FILE_BYTES // after[0]) if after else 1
+
+
 def write_captures(pages: DataFrame, path: str) -> None:
     """Archives of ``pages`` (page_id, url, html) at ``path``."""
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).filter("page_id is not null")
@@ -84,7 +93,14 @@ def write_captures(pages: DataFrame, path: str) -> None:
     request = _record(["WARC-Type: request", name("request"), *common, linked, http + "request"], F.concat(F.lit("GET "), F.regexp_replace("url", r"[\r\n ]", ""), F.lit(" HTTP/1.1\r\nAccept: */*\r\n\r\n")))
     metadata = _record(["WARC-Type: metadata", name("metadata"), *common, linked, "Content-Type: application/warc-fields"], F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(_CRLF)))
     one = F.concat_ws(_CRLF * 2, request, F.when(again, revisit).otherwise(response), metadata)
-    rows.select(one.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    n = F.octet_length("html")
+    bounds = [(low, n >= low if high is None else (n >= low) & (n < high)) for low, high in zip(SIZES, (*SIZES[1:], None))]
+    many = pages.agg(*(F.count_if(within) for _, within in bounds)).first()
+    present = [b for b, c in zip(bounds, many) if c] or bounds[:1]
+    for low, within in present:
+        # the only class needs no filter
+        of_size = rows.filter(within) if len(present) > 1 else rows
+        of_size.select(one.alias("value")).write.mode("append").option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records(low)).text(path)
 
 
 class _Inflated:
