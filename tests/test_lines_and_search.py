@@ -125,6 +125,61 @@ def test_merge_points(spark):
     assert got == [("A", 1, 2), ("A", 3, 1), ("B", 4, 0)]
 
 
+def merged_in_order(rows, apart):
+    """The fold in plain words: each place, in order, joins the first kept one in reach or is kept."""
+    kept = {}
+    for name, kind, seq, lon, lat, notable in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+        of = kept.setdefault((name, kind), [])
+        hit = next((k for k in of if lon is not None and k[1] is not None and abs(k[1] - lon) < apart and abs(k[2] - lat) < apart), None)
+        if hit:
+            hit[3] = max(hit[3], notable)
+        else:
+            of.append([seq, lon, lat, notable])
+    return sorted((str(n), str(k), *x[:1], str(x[1]), *x[3:]) for (n, k), of in kept.items() for x in of)
+
+
+POINTS = "name string, kind string, seq long, lon double, lat double, notability int"
+
+
+def test_merged_places_equal_the_fold(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("AAAB"), rng.choice(("park", "shop")), i, 24 + rng.randrange(60) * 4e-5, 60 + rng.randrange(12) * 4e-5, rng.randrange(3)) for i in range(400)]
+    rows += [("H", "shop", 1000 + i, 25.0 + rng.random() * 5e-5, 60.0, i % 3) for i in range(500)]  # one spot of many
+    rows += [("L", "shop", 2000 + i, 25.0 + i * 6e-5, 60.0, 1) for i in range(40)]  # a chain in order
+    rows += [("N", "shop", 1, None, 60.0, 0), ("N", "shop", 2, None, 60.0, 1), (None, "shop", 3, 24.0, 60.0, 0), (None, "shop", 4, 24.0, 60.0, 2), ("R", "shop", 5, 24.0, 60.0, 1), ("R", "shop", 5, 24.0, 60.0, 1), ("R", "shop", 5, 24.00001, 60.0, 2)]
+    got = sorted((str(r.name), str(r.kind), r.seq, str(r.lon), r.notability) for r in search.merge_points(spark.createDataFrame(rows, POINTS).repartition(7)).select(F.col("name").alias("name"), "kind", "seq", "lon", "notability").collect())
+    assert got == merged_in_order(rows, 1e-4)
+
+
+def test_no_places_merge_into_none(spark):
+    assert search.merge_points(spark.createDataFrame([], POINTS)).collect() == []
+
+
+def test_index_from_extract_to_search(spark, tmp_path):
+    from velonet.sources import sinks
+
+    t, n = "map<string,string>", "id long, lon double, lat double"
+    nodes = spark.createDataFrame(
+        [
+            (1, 24.90, 60.20, {"addr:street": "Mäkitie", "addr:housenumber": "2"}), (2, 24.90001, 60.20, {"addr:street": "Mäkitie", "addr:housenumber": "2"}), (3, 24.901, 60.20, {"addr:street": "Mäkitie"}),
+            (4, 24.92, 60.21, {"place": "suburb", "name": "Laakso"}), (5, 24.9001, 60.2001, {"amenity": "school", "name": "Koulu"}), (6, 24.93, 60.22, {"amenity": "school", "name": "Laakso"}),
+            *((10 + i, 24.95 + i * 1e-3, 60.23, {"shop": "bakery", "name": "Leipomo"}) for i in range(8)), (30, 0.0, 0.0, {"addr:street": "Kaukana"}),
+        ], f"{n}, tags {t}",
+    )
+    ways = spark.createDataFrame([(1, [(24.97, 60.2), (24.98, 60.2)], {"highway": "residential", "name": "Väylä"}), (2, [], {"highway": "residential", "name": "Tyhjä"})], f"id long, points array<struct<lon:double,lat:double>>, tags {t}")
+    areas = spark.createDataFrame([(1, [(24.90008, 60.2001), (24.90012, 60.2001)], {"amenity": "school", "name": "Koulu", "wikidata": "Q1"}), (2, [], {"amenity": "school", "name": "Olematon"})], f"id long, ring array<struct<lon:double,lat:double>>, tags {t}")
+    search.write_index(search.build_index(nodes, ways, areas, (24.0, 60.0, 25.5, 60.5)), str(tmp_path / "index"))
+    index, manifest = sinks.read(spark, str(tmp_path / "index"), "search")
+    assert [(r.street_id, r.street, r.doors) for r in index["street"].orderBy("street_id").collect()] == [(0, "Mäkitie", 2), (1, "Väylä", 0)]
+    assert sorted((r.street_id, r.number, r.lon) for r in index["door"].collect()) == [(0, "", 24.901), (0, "2", 24.90)]
+    # the school by a district's name goes, its namesake on a node and an area are one, and five bakeries of eight stay
+    places = [(r.place, r.name, r.kind, r.notability, r.street) for r in index["place"].orderBy("place").collect()]
+    assert places == [(0, "Laakso", "suburb", 2, None), (1, "Koulu", "school", 1, "Mäkitie"), *((2 + i, "Leipomo", "shop", 0, None) for i in range(5))]
+    assert manifest["kinds"] == {"suburb": 1, "school": 1, "shop": 5} and manifest["districts"] == 1 and manifest["addressed_streets"] == 1
+    hits = search.search(spark.createDataFrame([(1, "mäki"), (2, "kou"), (3, "VAY")], "query long, text string"), index["place"], index["street"], index["door"])
+    assert sorted((r.query, r["rank"], r.label) for r in hits.collect()) == [(1, 1, "Mäkitie"), (2, 1, "Koulu"), (3, 1, "Väylä")]
+
+
 def test_spearman_with_ties(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0), (2.0, 3.0), (3.0, 3.0)], "x double, y double")
     r = evaluate.spearman(df, "x", "y").first()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from velonet import constants as C
 from velonet.functions import geo, tags, text
 from velonet.operators.spatial import grid_join, nearest
-from velonet.sources.shared import cut_lineage
+from velonet.sources import sinks
+from velonet.sources.shared import Parts, Rounds, cut_lineage
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -36,19 +37,36 @@ def cap_names(places: DataFrame, most: int = C.POINTS_PER_NAME) -> DataFrame:
 
 
 def merge_points(places: DataFrame, apart: float = 1e-4) -> DataFrame:
-    """Places of one (name, kind) within ``apart`` degrees on both axes of a kept one merge into it, in order of ``seq``."""
-    row = F.struct("seq", "lon", "lat", "notability")
-    lists = places.groupBy("name", "kind").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    empty = F.array().cast("array<struct<seq:long,lon:double,lat:double,notability:int>>")
+    """(name, kind, seq, lon, lat, notability): places of one (name, kind) within ``apart`` degrees on both axes of a kept one merge into it, in order of ``seq``.
 
-    def fold(kept, x):
-        near = lambda k: (F.abs(k["lon"] - x["lon"]) < apart) & (F.abs(k["lat"] - x["lat"]) < apart)
-        hit = F.array_position(F.transform(kept, near), True)
-        up = F.transform(kept, lambda k, i: F.struct(k["seq"].alias("seq"), k["lon"].alias("lon"), k["lat"].alias("lat"), F.when(i + 1 == hit, F.greatest(k["notability"], x["notability"])).otherwise(k["notability"]).alias("notability")))
-        new = F.struct(x["seq"].cast("long").alias("seq"), x["lon"].alias("lon"), x["lat"].alias("lat"), x["notability"].cast("int").alias("notability"))
-        return F.when(hit > 0, up).otherwise(F.array_append(kept, new))
-
-    return lists.select("name", "kind", F.explode(F.aggregate("r", empty, fold)).alias("k")).select("name", "kind", "k.*")
+    A merged place goes to the first kept one in its reach, which takes the highest notability. Cells are so small that all within one merge. A
+    round keeps every cell's first open place that comes before those of the cells in reach, and closes what lies near it: no list of a name's
+    places is ever gathered, so one name may be as frequent as it likes. Equal ``seq`` go by coordinates; places without coordinates stay as they are.
+    """
+    known = F.coalesce((F.abs("lon") < 1e9) & (F.abs("lat") < 1e9), F.lit(False))
+    text_of = lambda c: F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), c))
+    at = lambda c: F.floor(F.col(c) / F.lit(apart / 1.5)).cast("long")
+    columns = ["name", "kind", "seq", "lon", "lat", "notability"]
+    key = ["_key", "_cx", "_cy"]
+    points = places.filter(known).select(*columns, F.concat_ws("\0", text_of("name"), text_of("kind")).alias("_key"), at("lon").alias("_cx"), at("lat").alias("_cy"))
+    points = cut_lineage(points.withColumn("_o", F.struct("seq", "lon", "lat", "notability")), "points")
+    step = F.sequence(F.lit(-2), F.lit(2))
+    around = lambda df: df.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
+    near = (F.abs(F.col("lon") - F.col("_k.lon")) < apart) & (F.abs(F.col("lat") - F.col("_k.lat")) < apart)
+
+    open_, kept, left = points, Parts("kept", lambda t: t), Rounds("open")
+    while True:
+        first = open_.groupBy(*key).agg(F.min("_o").alias("_k")).withColumns({"_x": F.col("_cx"), "_y": F.col("_cy")})
+        own = F.when((F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), F.col("_k"))
+        reached = around(first).groupBy(*key).agg(F.max(own).alias("_k"), F.min("_k").alias("_b"))
+        new = kept.add(reached.filter(F.col("_k") == F.col("_b")).select(*key, "_k"))
+        if new.isEmpty():
+            break
+        reach = around(new).select(*(F.col(c).alias(f"{c}2") for c in key), "_k")
+        open_ = left.write(open_.join(reach, (F.col("_key") == F.col("_key2")) & (F.col("_cx") == F.col("_cx2")) & (F.col("_cy") == F.col("_cy2")) & near, "left_anti"))
+    mine = points.join(around(kept.table().select(*key, "_k")), key).filter(near).groupBy("name", "kind", "_o").agg(F.min("_k").alias("_k"))
+    merged = mine.groupBy("name", "kind", "_k").agg(F.max("_o.notability").alias("notability"))
+    return merged.select("name", "kind", "_k.seq", "_k.lon", "_k.lat", "notability").unionByName(places.filter(~known).select(*columns))
 
 
 def place_context(places: DataFrame, address: DataFrame, radius: float = C.PLACE_CONTEXT) -> DataFrame:
@@ -166,3 +184,35 @@ def index_tables(nodes: DataFrame, ways: DataFrame, areas: DataFrame, bounds=C.B
     poi = spots.withColumn("kind", tags.poi_kind(t)).filter("kind is not null")
     poi = poi.select("seq", F.explode(tags.names_of(t)).alias("name"), "kind", "lon", "lat", tags.notability(t).alias("notability"))
     return {"door": door, "road": first_of(road, ["street"], ["seq"]), "district": first_of(district, ["name"], ["seq"]), "poi": poi}
+
+
+def build_index(nodes: DataFrame, ways: DataFrame, areas: DataFrame, bounds=C.BOUNDS) -> dict[str, DataFrame]:
+    """From an extract, as ``index_tables`` takes it, to the three tables that ``search`` reads.
+
+    ``street`` (street_id, street, lon, lat, doors), numbered by name; ``door`` (street_id, street, number, lon, lat); ``place`` (place, name,
+    kind, rank, notability, lon, lat, street), numbered by rank of the kind, notability, name and place on the map: districts, and merged and
+    capped points of interest of other names, each with the street it stands on.
+    """
+    from velonet.operators.network import number_rows
+
+    found = index_tables(nodes, ways, areas, bounds)
+    address = cut_lineage(addresses(found["door"]), "address")
+    district = cut_lineage(found["district"], "district")
+    street = cut_lineage(number_rows(streets(address, found["road"]), ["street"], "street_id"), "street")
+    door = address.join(street.select("street", "street_id"), "street").select("street_id", "street", "number", "lon", "lat")
+    poi = cap_names(merge_points(found["poi"]).join(district.select("name"), "name", "left_anti"))
+    columns = ["name", "kind", "lon", "lat"]
+    entries = district.select(*columns, F.lit(2).alias("notability")).unionByName(poi.select(*columns, "notability"))
+    rank = F.array_position(F.array(*map(F.lit, C.PLACE_KINDS)), F.col("kind")) - 1
+    entries = entries.withColumns({"rank": rank.cast("int"), "_less": -F.col("notability")})
+    place = cut_lineage(number_rows(entries, ["rank", "_less", "name", "lon", "lat"], "place").drop("_less"), "place")
+    return {"street": street.select("street_id", "street", "lon", "lat", "doors"), "door": door, "place": place_context(place, address).select("place", "name", "kind", "rank", "notability", "lon", "lat", "street")}
+
+
+def write_index(index: dict[str, DataFrame], path: str) -> None:
+    """The tables of ``build_index`` as checked Parquet; the manifest counts streets with doors, districts, and places of each kind."""
+    kinds = {r["kind"]: r["n"] for r in index["place"].groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most as many as PLACE_KINDS
+    sinks.write(
+        index, path, "search", {"street": ["street_id"], "door": ["street_id", "number"], "place": ["place"]},
+        addressed_streets=index["street"].filter("doors > 0").count(), districts=sum(kinds.get(k, 0) for k in C.DISTRICTS), kinds={k: kinds[k] for k in C.PLACE_KINDS if k in kinds},
+    )
