@@ -128,7 +128,7 @@ def test_merge_points(spark):
 def merged_in_order(rows, apart):
     """The fold in plain words: each place, in order, joins the first kept one in reach or is kept."""
     kept = {}
-    for name, kind, seq, lon, lat, notable in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+    for name, kind, seq, lon, lat, notable in sorted(rows, key=lambda r: (r[2], r[3] or 0.0, r[4], r[5])):
         of = kept.setdefault((name, kind), [])
         hit = next((k for k in of if lon is not None and k[1] is not None and abs(k[1] - lon) < apart and abs(k[2] - lat) < apart), None)
         if hit:

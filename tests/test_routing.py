@@ -264,3 +264,30 @@ def test_routes_by_joins_equal_the_search(spark, monkeypatch, seed, limit):
     assert rows() == want and {r[0] for r in want} >= {0, 1, 2, 3, 4} and 5 not in {r[0] for r in want}
     assert limit == 1 or max(r[1] for r in want) > 1
     KIND.clear()
+
+
+def test_sweep_totals_routes_of_each_taste(spark):
+    from velonet.operators import evaluate
+
+    KIND.clear()
+    KIND.update({5: 2, 6: 1, 9: 3})
+    edges, nodes = build(spark, GRID | {20: (200, 200), 21: (201, 200)}, [*random_grid(4), (20, 21, {})])
+    edges = routing.with_sides(edges, edges.select("edge_id", F.lit(2.0).alias("ascent"), F.lit(1.0).alias("descent")))
+    pairs = [(0, 15), (3, 12), (5, 5), (1, 20), (14, 2)]
+    p = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair long, start long, goal long")
+    settings = {"plain": K.Taste(), "smooth": K.Taste({"unpaved": 6, "turn": 3})}
+    rows = {r.setting: r for r in evaluate.sweep(edges, nodes, p, settings, K.CostModel(), "plain").collect()}
+    assert set(rows) == set(settings)
+    price = {}
+    for name, taste in settings.items():
+        rolled, _, _ = run(spark, (edges, nodes), pairs, taste)
+        of = [r for r in rolled.values() if r.edges]
+        r, metres = rows[name], sum(x.metres for x in of)
+        price[name] = sum(x.seconds for x in of)
+        assert (r.routed, r.failed) == (len(of), 5 - len(of)) and r.routed < 5
+        assert r.km == pytest.approx(metres / 1000) and r.minutes == pytest.approx(price[name] / 60)
+        assert r.unpaved == pytest.approx(100 * sum(x.unpaved for x in of) / metres) and r.turns == sum(x.turns for x in of)
+        assert r.ascent == pytest.approx(sum(x.ascent for x in of)) and r.ascent > 0
+    assert rows["plain"].detour == 0 and rows["smooth"].detour == pytest.approx(100 * (price["smooth"] / price["plain"] - 1))
+    none = evaluate.sweep(edges, nodes, p.filter("pair = 2"), settings, K.CostModel(), "plain").collect()
+    assert {(r.setting, r.routed, r.failed, r.detour, r.network) for r in none} == {(n, 0, 1, 0.0, 0.0) for n in settings}

@@ -172,7 +172,7 @@ def index_tables(nodes: DataFrame, ways: DataFrame, areas: DataFrame, bounds=C.B
     bounds goes. ``seq`` is the order in which the first of several wins.
     """
     n, t = F.size("points"), F.col("tags")
-    mean = lambda i: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[i]) / F.size("ring")
+    mean = lambda i: F.try_divide(F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[i]), F.size("ring"))  # noqa: E731  the filter on size may come later
     at_node = nodes.select(F.lit(0).alias("_k"), "id", "lon", "lat", "tags")
     at_area = areas.filter(F.size("ring") > 0).select(F.lit(1).alias("_k"), "id", mean("lon").alias("lon"), mean("lat").alias("lat"), "tags")
     spots = at_node.unionByName(at_area).filter(geo.within("lon", "lat", bounds)).withColumn("seq", F.struct("_k", "id"))
