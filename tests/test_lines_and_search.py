@@ -203,6 +203,28 @@ def test_register_union_keeps_the_first(spark):
     assert sorted((r.city, r.seq) for r in signals.register_union([a, b]).collect()) == [("a", 1), ("b", 3)]
 
 
+def test_claims_equal_taking_turns_one_by_one(spark):
+    """Many points that all hang together: no group of them is gathered, and the outcome is that of one pass in order."""
+    rng = random.Random(3)
+    reg = [(p, f"c{rng.randrange(3)}", rng.random(), rng.random()) for p in range(120)]
+    cand = [(p, kind, n, round(rng.uniform(1, 90), 3), n % 17 == 0, n % 5 > 0, rng.random() < 0.9, rng.random() < 0.9) for p in range(120) for kind in ("cycleway", "road") for n in rng.sample(range(p // 2, p // 2 + 25), 8)]
+    lit, want = {k: {n for _, kind, n, _, on, *_ in cand if on and kind == k} for k in ("cycleway", "road")}, set()
+    for p, *_ in sorted(reg, key=lambda x: (x[1], x[2], x[3], x[0])):
+        for kind in ("cycleway", "road"):
+            ok = sorted((m, n, ground) for q, k, n, m, _, ground, walk, cross in cand if q == p and k == kind and walk and cross)
+            known = [n for m, n, _ in ok if n in lit[kind] and m <= 40]
+            grounded = [n for m, n, ground in ok if ground and m <= 80]
+            if known:
+                want.add((p, kind, known[0], "known"))
+            elif grounded:
+                lit[kind].add(grounded[0])
+                want.add((p, kind, grounded[0], "claimed"))
+    table = spark.createDataFrame(cand, "point long, kind string, node long, metres double, lit boolean, grounded boolean, walkable boolean, crossing boolean")
+    got = signals.claim(spark.createDataFrame(reg, "point long, city string, lon double, lat double"), table)
+    assert {tuple(r) for r in got.collect()} == want and {o for *_, o in want} == {"known", "claimed"}
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
 def test_claims_follow_chains_of_points(spark):
     """1 and 3 meet only through 2's candidates; 4 is on its own and does not wait for them."""
     reg = spark.createDataFrame([(1, "b", 24.0, 60.0), (2, "a", 24.1, 60.0), (3, "a", 24.0, 60.0), (4, "c", 24.0, 60.0)], "point long, city string, lon double, lat double")

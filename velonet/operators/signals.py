@@ -74,39 +74,45 @@ def walk(arcs: DataFrame, starts: DataFrame, budget: float = C.WALK_M, max_round
     raise RuntimeError("the walk did not end")
 
 
-def claim(register: DataFrame, candidates: DataFrame, near: float = C.REGISTER_NEAR, far: float = C.REGISTER_FAR) -> DataFrame:
+def claim(register: DataFrame, candidates: DataFrame, near: float = C.REGISTER_NEAR, far: float = C.REGISTER_FAR, max_rounds: int = 10_000) -> DataFrame:
     """Register points take lights in order of (city, lon, lat), cycleways before roads: (point, kind, node, outcome).
 
     register: point, city, lon, lat. candidates: point, kind ('cycleway' or 'road'), node, metres, lit, grounded, and whether
     the point may reach it (walkable) and it is crossed there (crossing); no other node counts. A light already lit within ``near`` is ``known``; else
     the nearest grounded node within ``near``, or ``far``, is claimed and counts as lit for later points.
 
-    A claim changes what later points see, but only those that share a candidate with it, directly or through others: each such
-    group of points is folded over in its order by a task of its own.
+    What a point would claim is the same whatever is lit, so an earlier point only matters to those within ``near`` of its pick. Each
+    round settles all points whose earlier rivals are settled: no group of points is gathered, however many hang together.
     """
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["city", "lon", "lat", "point", "metres", "node"], kind="stable")
-        lit = {k: set(g.loc[g["lit"], "node"]) for k, g in pdf.groupby("kind")}
-        out = []
-        for point, own in pdf.groupby("point", sort=False):
-            for kind in ("cycleway", "road"):
-                at = own[own["kind"] == kind]
-                ok = at[at["walkable"] & at["crossing"]]
-                known = ok[ok["node"].isin(lit.get(kind, set())) & (ok["metres"] <= near)]
-                if len(known):
-                    out.append((point, kind, int(known["node"].iloc[0]), "known"))
-                    continue
-                grounded = ok[ok["grounded"] & (ok["metres"] <= far)]  # in order: the nearest is within ``near`` if any is
-                if len(grounded):
-                    node = int(grounded["node"].iloc[0])
-                    lit.setdefault(kind, set()).add(node)
-                    out.append((point, kind, node, "claimed"))
-        return pd.DataFrame(out, columns=["point", "kind", "node", "outcome"])
-
-    grouped = candidates.join(register.select("point", "city", "lon", "lat"), "point").join(point_groups(candidates), "point")
-    return grouped.groupBy("group").applyInPandas(fold, "point long, kind string, node long, outcome string")
+    order = F.struct("city", "lon", "lat", "point")
+    rows = candidates.filter(F.col("walkable") & F.col("crossing")).join(register.select("point", order.alias("turn")), "point")
+    rows = cut_lineage(rows.select("point", "kind", "node", "metres", "lit", "grounded", "turn"), "ways")
+    best = lambda c: F.min(F.when(c, F.struct("metres", "node")))["node"]
+    at = rows.groupBy("point", "kind").agg(F.first("turn").alias("turn"), best(F.col("grounded") & (F.col("metres") <= far)).alias("pick"), F.bool_or(F.col("lit") & (F.col("metres") <= near)).alias("known"))
+    at = cut_lineage(at.withColumn("known", F.coalesce("known", F.lit(False))), "turns")
+    # who stands near the pick of an earlier one that may claim; those that know a light of old don't
+    picks = at.filter("pick is not null and not known").select("kind", F.col("pick").alias("node"), F.col("point").alias("other"), F.col("turn").alias("sooner"))
+    rivals = cut_lineage(rows.filter(F.col("metres") <= near).join(picks, ["kind", "node"]).filter(F.col("sooner") < F.col("turn")).select("point", "kind", "node", "metres", "other"), "rivals")
+    key = ["point", "kind"]
+    sooner = rivals.select(*key, "other").distinct()
+    open_ = cut_lineage(at.filter("not known").select(*key, F.col("pick").isNotNull().alias("may")), "open")
+    claimed = Parts("claimed", lambda t: t)
+    for _ in range(max_rounds):
+        other = open_.filter("may").select(F.col("point").alias("other"), "kind")
+        waits = sooner.join(open_.select(*key), key, "left_semi").join(other, ["other", "kind"], "left_semi").select(*key).distinct()
+        now = claimed.add(open_.join(waits, key, "left_anti").filter("may").select(*key))
+        # all that have no open rival are settled, and so are those near what was just claimed
+        knows = sooner.join(now.select(F.col("point").alias("other"), "kind"), ["other", "kind"], "left_semi").select(*key).distinct()
+        open_ = cut_lineage(open_.join(waits, key, "left_semi").join(knows, key, "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"points unsettled after {max_rounds} rounds")
+    made = cut_lineage(claimed.merged(), "claimed")
+    old = rows.filter(F.col("lit") & (F.col("metres") <= near)).select(*key, "node", "metres")
+    new = rivals.join(made.select(F.col("point").alias("other"), "kind"), ["other", "kind"], "left_semi").select(*key, "node", "metres")
+    known = old.unionByName(new).groupBy(*key).agg(F.min(F.struct("metres", "node"))["node"].alias("node"))
+    return known.select(*key, "node", F.lit("known").alias("outcome")).unionByName(at.join(made, key, "left_semi").select(*key, F.col("pick").alias("node"), F.lit("claimed").alias("outcome")))
 
 
 def point_groups(candidates: DataFrame, max_rounds: int = 1000) -> DataFrame:
