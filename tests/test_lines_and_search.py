@@ -284,3 +284,16 @@ def test_neither_search_nor_rasters_compare_all_with_all(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r.id: r.height for r in at.collect()} == {1: 1.0, 2: 7.0, 3: None, 4: None}
     assert [r.label for r in hits.orderBy("rank").collect()] == ["Puistotie 1", "Puisto"]
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_nearest_far_north_and_far_away(spark, monkeypatch, few):
+    """Reaches around a pole list no more cells than there are, and the rows that list them are never broadcast."""
+    monkeypatch.setattr(spatial, "FEW", few)
+    lat, lon_n = F.lit(89.99999 - 18.5), spatial.reach_cells(F.lit(89.99999 - 18.5), 2_048_000.0, 18.5)[0]
+    assert spark.range(1).select(lon_n).first()[0] <= 20 and spark.range(1).select(spatial.reach_cells(lat + 60, 2_048_000.0, 18.5)[0]).first()[0] > 0
+    left = spark.createDataFrame([(1, 24.9, 75.1), (2, 24.9, 71.4999), (3, 24.9, 60.2)], "id long, lon double, lat double")
+    right = spark.createDataFrame([(7, 24.9, 60.15), (8, 24.91, 60.25)], "node long, to_lon double, to_lat double")
+    assert {r.id: r.node for r in spatial.nearest(left, right, "id", ["node"]).collect()} == {1: 8, 2: 8, 3: 7}
+    plan = spatial.grid_join(left, right, 500.0, 0.01)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
