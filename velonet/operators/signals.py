@@ -65,10 +65,11 @@ def walk(arcs: DataFrame, starts: DataFrame, budget: float = C.WALK_M, max_round
     known = Parts("walk", lambda t: t.groupBy("start", "node").agg(F.min("metres").alias("metres")))
     frontier = known.add(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("metres")))
     for _ in range(max_rounds):
-        step = frontier.join(arcs, frontier["node"] == arcs["tail"]).select("start", F.col("head").alias("node"), (F.col("metres") + F.col("length")).alias("metres")).filter(F.col("metres") <= budget)
+        step = frontier.join(arcs.hint("merge"), frontier["node"] == arcs["tail"]).select("start", F.col("head").alias("node"), (F.col("metres") + F.col("length")).alias("metres")).filter(F.col("metres") <= budget)
         step = step.groupBy("start", "node").agg(F.min("metres").alias("metres"))
         before = known.table().select(F.col("start").alias("_s"), F.col("node").alias("_n"), F.col("metres").alias("_m"))
-        frontier = known.add(step.join(before, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")) & (F.col("_m") <= F.col("metres")), "left_anti"))
+        # hints: neither side is sent to the driver, round after round
+        frontier = known.add(step.join(before.hint("merge"), (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")) & (F.col("_m") <= F.col("metres")), "left_anti"))
         if frontier.isEmpty():
             return known.merged()
     raise RuntimeError("the walk did not end")
