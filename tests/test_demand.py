@@ -44,3 +44,11 @@ def test_no_pair_and_no_weight(spark):
     with pytest.raises(ValueError):
         demand.trips(ids, table(spark).limit(0), table(spark))
     assert demand.trips(ids.limit(0), table(spark), table(spark)).count() == 0
+
+
+def test_trips_without_a_pair_may_be_left_out(spark):
+    """As many draws as asked for, and those that found a pair are the same whatever others did."""
+    ids = spark.range(200).withColumnRenamed("id", "trip")
+    whole = {r.trip: tuple(r) for r in demand.trips(ids, table(spark), table(spark), span=(500.0, 600.0)).collect()}
+    some = {r.trip: tuple(r) for r in demand.trips(ids, table(spark), table(spark), span=(500.0, 600.0), max_rounds=1, all_found=False).collect()}
+    assert 0 < len(some) < len(whole) == 200 and all(whole[t] == row for t, row in some.items())
