@@ -179,3 +179,21 @@ def test_many_equal_components_and_long_rings(spark):
     all_ = {n: reach(n) for n in {x for p in pairs for x in p}}
     assert got == {n: min(m for m in s if n in all_[m]) for n, s in all_.items()}
     assert {r.node for r in network.scc_by_joins(arcs(spark, pairs)).collect()} == set(range(1000, 1060))
+
+
+def test_sums_run_along_the_chain(spark):
+    """Half a millimetre at the last digit isn't left to the order in which rows arrive."""
+    import random
+
+    ends = list(range(61))
+    lengths = [round(0.0005 * (97 * i % 1999) + 40, 4) for i in range(60)]
+    rows = [(a, a + 1, 1, 0, 1, True, "", True, True, 0, 90.0, 90.0, x) for a, x in zip(ends, lengths)]
+    want = 0.0
+    for x in lengths:
+        want += x
+    nodes = spark.createDataFrame([(i, 0, 0) for i in ends], "node long, kind int, barrier int")
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        shuffled = spark.createDataFrame(rows, "a long, b long, surface int, grade int, traffic int, lit boolean, name string, forward boolean, backward boolean, class int, bearing_a double, bearing_b double, length double")
+        (edge,) = network.contract(shuffled, nodes).collect()
+        assert (edge.length, edge.unpaved, edge.lit) == (want, want, want)
