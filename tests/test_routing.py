@@ -291,3 +291,52 @@ def test_sweep_totals_routes_of_each_taste(spark):
     assert rows["plain"].detour == 0 and rows["smooth"].detour == pytest.approx(100 * (price["smooth"] / price["plain"] - 1))
     none = evaluate.sweep(edges, nodes, p.filter("pair = 2"), settings, K.CostModel(), "plain").collect()
     assert {(r.setting, r.routed, r.failed, r.detour, r.network) for r in none} == {(n, 0, 1, 0.0, 0.0) for n in settings}
+
+
+def one_by_one(g, start, goal, metres, limit):
+    """Alternatives by a search each that is guided by the crow's way only."""
+    factor, more, kept, best = {}, {}, [], None
+    for _ in range(limit + 2):
+        _, came, last = g.search(start, goal, more)
+        if last < 0:
+            break
+        path = g.path(came, last)
+        edges, s = {int(g.state[x]) // 2 for x in path}, g.seconds(path)
+        best = s if best is None else best
+        length = sum(float(metres[x]) for x in path)
+        overlap = max((sum(float(metres[x]) for x in path if int(g.state[x]) // 2 in k) / max(length, 1e-9) for k, _ in kept), default=0.0)
+        if not kept or (s <= C.ALTERNATIVE_RATIO * best and overlap <= C.ALTERNATIVE_OVERLAP):
+            kept.append((edges, path))
+            if len(kept) == limit:
+                break
+        for e in edges:
+            factor[e] = factor.get(e, 1.0) * C.ALTERNATIVE_PENALTY
+            more.update((p, g.edge_search[p] * (factor[e] - 1)) for p in g._places[e])
+    return [p for _, p in kept]
+
+
+def test_searches_of_many_pairs_at_once(spark):
+    """Backward searches of a batch lead each pair straight to its goal: the same routes and alternatives, few states on the way."""
+    from velonet.plans.derived import Derived
+    from velonet.plans.queries import MODEL, TASTE
+
+    d = Derived(spark, "/root/testdata/sf0.001")
+    g, metres = routing.load(routing.priced(d.edge, d.node, MODEL, TASTE), d.node, MODEL, TASTE)
+    pairs = [(i, (i * 31 + 7) % len(g.node)) for i in range(len(g.node)) if i != (i * 31 + 7) % len(g.node)]
+    for limit in (1, 3):
+        assert g.alternatives(pairs, metres, limit) == [one_by_one(g, a, b, metres, limit) for a, b in pairs]
+    left, reached = g.to_go(pairs)
+    for k, (a, b) in enumerate(pairs):
+        best, came, last = g.search(a, b, left=left[k].tolist())
+        assert reached[k] == (last >= 0)
+        if last >= 0:
+            steps = len(g.path(came, last))
+            assert len(best) <= 4 * steps + 4, (len(best), steps)
+
+
+def test_routes_of_equal_ends_are_shared(spark):
+    pairs = spark.createDataFrame([(5, 1, 2), (3, 1, 2), (9, 2, 1), (4, 1, 1)], "pair long, start long, goal long")
+    leads, members = routing.shared_ends(pairs)
+    assert sorted(map(tuple, leads.collect())) == [(3, 1, 2), (4, 1, 1), (9, 2, 1)]
+    rows = spark.createDataFrame([(3, "x"), (3, "y"), (4, "z")], "pair long, v string")
+    assert sorted(map(tuple, routing.for_all(rows, members).collect())) == [(3, "x"), (3, "y"), (4, "z"), (5, "x"), (5, "y")]

@@ -64,7 +64,7 @@ def register_route(spark: SparkSession, graph: Graph, metres: np.ndarray, name:
                 return []
             if a == b:
                 return [(1, -1, -1, 0.0)]
-            paths = enumerate(g.alternatives(a, b, m, limit), 1)
+            paths = enumerate(g.alternatives([(a, b)], m, limit)[0], 1)
             return [(rank, pos, int(g.state[s]), g.swing(path, pos)) for rank, path in paths for pos, s in enumerate(path)]
 
     spark.udtf.register(name, F.udtf(Route))
