@@ -172,6 +172,21 @@ def test_thresholds_of_small_languages_lean_on_their_own_rows(spark):
     assert sum((held[i] >= 0.5) == bool(t) for i, t in marks) >= 0.97 * len(marks)
 
 
+def test_all_labels_are_learnt_from(spark):
+    """What one shard never sees is learnt all the same: bad words that only a few labels show, spread over many shards; and thresholds count all rows."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1200):
+        bad = [f"vile{i // 4 % 8}"] * 3 if i % 4 == 0 else []
+        rows.append((i, " ".join(["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(12)] + bad), i % 4 == 0))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(t)) for i, _, t in rows], "doc_id long, toxic int")
+    models = [toxicity.fit(df.repartition(n), marks, shard_rows=100) for n in (2, 5)]
+    assert np.array_equal(models[0].embed, models[1].embed) and np.array_equal(models[0].cut, models[1].cut)
+    got = {r.doc_id: r.score for r in toxicity.scores(df, models[0]).collect()}
+    assert sum((got[i] >= 0.5) == t for i, _, t in rows) >= 0.97 * len(rows)
+
+
 @pytest.mark.parametrize("hot", [0, 1, 5, 10**6])
 def test_windows_of_hot_minimisers(spark, hot):
     """Whatever counts as hot, the same words go: many texts around one passage, copies, and runs of one word."""
