@@ -1,6 +1,7 @@
 """Repeated and null ids, very long texts and empty tables; the classifier against plain loops."""
 
 import hashlib
+import os
 import random
 import string
 from collections import Counter
@@ -187,6 +188,23 @@ def test_all_labels_are_learnt_from(spark):
     assert sum((got[i] >= 0.5) == t for i, _, t in rows) >= 0.97 * len(rows)
 
 
+def test_toxicity_leaves_no_text_on_the_disks(spark):
+    """What training shuffles is small beside the texts, and is given back: neither texts nor the epochs' rows stay."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(60)) + (" vile" if i % 4 == 0 else "")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 4000, 4)] + [(i, 0) for i in range(1, 2000, 4)], "doc_id long, toxic int")
+    files = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before, most = files(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # labels of any size
+    try:
+        toxicity.fit(df, marks, shard_rows=200)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    left = [f for f in files() - before if "shuffle" in f and os.path.exists(f)]
+    assert sum(os.path.getsize(f) for f in left) < sum(len(t) for _, t in rows) / 10
+
+
 @pytest.mark.parametrize("hot", [0, 1, 5, 10**6])
 def test_windows_of_hot_minimisers(spark, hot):
     """Whatever counts as hot, the same words go: many texts around one passage, copies, and runs of one word."""

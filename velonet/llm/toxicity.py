@@ -5,7 +5,8 @@ units: the word, its first 4 and its first 6 bytes, so inflected forms share wha
 filters of widths 1, 2 and 3 slide over the whole text, each keeps its maximum, and a
 logistic layer reads the maxima. All labelled rows are trained on, by the tasks: in each epoch they are dealt anew into shards
 of about ``SHARD_ROWS``, each shard goes on from the same parameters, and what the shards make of them is averaged (an embedding over
-those that met its bucket). Only parameters and counts reach the driver. Texts travel as two-byte bucket numbers, three a word. Embeddings start small and random but for one component, the unit's log-odds
+those that met its bucket). Only parameters and counts reach the driver. Texts of labelled rows, which a filter of their ids picks, travel as two-byte
+bucket numbers, three a word; texts themselves never do, and what an epoch shuffles is given back when it ends. Embeddings start small and random but for one component, the unit's log-odds
 z-score between toxic and other training documents, which breaks the symmetry.
 
 Thresholds are calibrated by language on all labelled rows of the fold not trained on, from counts by thousandths of a logit. The language is guessed from the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velonet.llm import store
+from velonet.llm import idfilter, store
 from velonet.llm import textkit as tk
 
 #: Labelled rows, and bytes of their bucket numbers, of a shard.
@@ -249,7 +250,8 @@ def train(rows: DataFrame, toxic: int, clean: int, shards: int) -> Model:
         box = spark.sparkContext.broadcast(state)
         dealt = rows.select("doc_id", F.least("toxic", F.lit(1)).alias("toxic"), "tokens", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(shards)).alias("shard"))
         made = dealt.groupBy("shard").applyInArrow(_pass(box, turn), _TABLE)
-        mean = made.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(DIM + 1))).toArrow()
+        with store.giving_back(spark):
+            mean = made.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(DIM + 1))).toArrow()
         table = state.packed()
         table[np.asarray(mean["key"])] = np.stack([np.asarray(mean[f"p{i}"]) for i in range(DIM + 1)], 1) * PART / np.asarray(mean["n"])[:, None]
         state = state.unpacked(table)
@@ -270,15 +272,17 @@ def best_cut(logit: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> f
     return float((s[k] + below[k]) / 2)
 
 
-def _bucketed():
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("part", pa.int64()), ("lang", pa.int32()), ("tokens", pa.binary())])
+def _bucketed(box):
+    """(doc_id, lang, tokens) of the rows whose id passes the filter."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tk.groups(batches):
+        some = (b.filter(pa.array(idfilter.passes(box.value, np.asarray(b.column("doc_id"))))) for b in batches)
+        for batch, texts in tk.groups(some):
             w, h = tk.plain_words(texts)
             b = units(w, h)
             tokens = [b[f : f + n].tobytes() for f, n in zip(w.first, w.count)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("part"), pa.array(languages(w, h).astype(np.int32)), pa.array(tokens, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages(w, h).astype(np.int32)), pa.array(tokens, pa.binary())], schema=schema)
 
     return run
 
@@ -323,7 +327,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int | None = None, train
     own = docs.select(F.col("doc_id").cast("long"), "text")
     if train_rows is not None or train_chars is not None:
         learn = _bounded(own, learn, (1 << 31) - 1 if train_rows is None else train_rows, 1 << 62 if train_chars is None else train_chars)
-    rows = store.materialise(own.join(learn, "doc_id").mapInArrow(_bucketed(), "doc_id long, toxic int, part long, lang int, tokens binary"), "toxicity")
+    known = docs.sparkSession.sparkContext.broadcast(idfilter.build(learn.select("doc_id")))
+    tokens = own.filter("doc_id is not null").mapInArrow(_bucketed(known), "doc_id long, lang int, tokens binary")
+    # labels grow with the documents: they are merged at any size rather than sent to all
+    rows = store.settled(tokens.join(learn.hint("merge"), "doc_id"), "toxicity")
     counts = rows.groupBy((F.col("part") == 4).alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("toxic", F.lit(1))).alias("y"), F.sum(F.length("tokens")).alias("bytes")).collect()
     own_n, own_y, size = ([sum(r[c] for r in counts if not r["held"]) for c in ("n", "y", "bytes")]) if counts else (0, 0, 0)
     if own_y in (0, own_n):
