@@ -146,6 +146,22 @@ def test_components_by_joins_equal_the_array_task(spark, seed):
     assert {r.node for r in network.scc_by_joins(a).collect()} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_by_blocks_equal_the_array_task(spark, monkeypatch, seed):
+    import random
+
+    from velonet.operators import blocks
+
+    rng = random.Random(seed)
+    near = [(i, i + rng.choice((-3, -1, 1, 2))) for i in range(60) for _ in range(2)]
+    a = arcs(spark, [(t, h) for t, h in near if 0 <= h < 60]).cache()
+    want = {r.node for r in network.largest_scc(a).collect()}
+    monkeypatch.setattr(network, "TASK_ARCS", 3)
+    monkeypatch.setattr(network, "_scc_task", None)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    assert {r.node for r in network.largest_scc(a).collect()} == want
+
+
 def test_components_by_joins_of_trees_and_nothing(spark):
     assert [r.node for r in network.scc_by_joins(arcs(spark, [(3, 2), (2, 5)])).collect()] == [2]
     assert network.scc_by_joins(arcs(spark, [])).count() == 0
