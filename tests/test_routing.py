@@ -238,6 +238,23 @@ def test_costs_by_joins_equal_the_search(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+@pytest.mark.parametrize("turns", [True, False])
+def test_costs_by_blocks_equal_the_search(spark, monkeypatch, turns):
+    """Small blocks, so that the best ways cross them often; the graph isn't collected, nor sent to any task whole."""
+    g = build(spark, GRID, random_grid(8))
+    model, taste = K.CostModel(), K.Taste({"turn": 2, "traffic": 3})
+    states = routing.priced(*g, model, taste)
+    src = spark.createDataFrame([(0,), (15,), (99,)], "source long")
+    for true in (True, False):
+        want = {(r.source, r.node): r.seconds for r in routing.least_costs(routing.load(states, g[1], model, taste, turns)[0], src, true).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(routing, "TASK_ARCS", 3)
+            m.setattr(routing.blocks, "BLOCK", 3)
+            m.setattr(routing, "load", None)
+            got = {(r.source, r.node): r.seconds for r in routing.costs(states, g[1], src, model, taste, turns, true).collect()}
+        assert len(want) > 20 and got == want
+
+
 def test_side_tables_default_to_flat_and_bare(spark):
     edges, nodes = build(spark, {0: (0, 0), 1: (10, 0), 2: (20, 0)}, [(0, 1, {}), (1, 2, {})])
     climb = spark.createDataFrame([(0, 5.0, 1.0)], "edge_id long, ascent double, descent double")
