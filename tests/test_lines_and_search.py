@@ -151,6 +151,32 @@ def test_merged_places_equal_the_fold(spark):
     assert got == merged_in_order(rows, 1e-4)
 
 
+def test_places_out_of_reach_hardly_wait(spark, monkeypatch):
+    """A line of places a third wider apart than merging reaches: each waited for the one before it, so there were as many rounds as places."""
+    rows, rounds = [("L", "shop", i, 25.0 + i * 1.34e-4, 60.0, 1) for i in range(24)], []
+    write = search.Rounds.write
+    monkeypatch.setattr(search.Rounds, "write", lambda self, df: rounds.append(1) or write(self, df))
+    got = sorted((str(r.name), str(r.kind), r.seq, str(r.lon), r.notability) for r in search.merge_points(spark.createDataFrame(rows, POINTS)).collect())
+    assert got == merged_in_order(rows, 1e-4) and len(got) == 24 and len(rounds) <= 8
+
+
+def test_extract_is_worked_out_once(spark):
+    """Tags made on the way are not made anew for every condition on them, nor the points of a way for every side of the box."""
+    i = F.col("id")
+    at = lambda dx: F.struct((F.lit(24.9) + i * 1e-3 + dx).alias("lon"), F.lit(60.2).alias("lat"))
+    tags = F.map_filter(F.create_map(F.lit("tourism"), F.when(i % 2 == 0, "museum"), F.lit("name"), F.lit("Nimi"), F.lit("addr:street"), F.lit("Katu")), lambda _, v: v.isNotNull())
+    nodes = spark.range(60).select("id", at(0.0)["lon"].alias("lon"), at(0.0)["lat"].alias("lat"), tags.alias("tags"))
+    road = F.create_map(F.lit("highway"), F.lit("residential"), F.lit("name"), F.concat(F.lit("Tie "), i.cast("string")))
+    ways = spark.range(60).select("id", F.array(at(-0.015625), at(0.0), at(0.0)).alias("points"), road.alias("tags"))
+    ways = ways.unionByName(spark.createDataFrame([(70, []), (71, None), (72, [(24.9, None)]), (73, [(24.9, 60.2)]), (74, [(0.0, 0.0), (24.95, 60.2)])], "id long, points array<struct<lon:double,lat:double>>").withColumn("tags", road))
+    areas = spark.range(2).select("id", F.array(at(0.0), at(0.002)).alias("ring"), tags.alias("tags"))
+    found = search.index_tables(nodes, ways, areas, (24.9, 60.0, 24.9505, 60.5))
+    plans = {t: found[t]._jdf.queryExecution().optimizedPlan().toString() for t in ("door", "district", "poi", "road")}
+    assert not any("Range" in plans[t] for t in ("door", "district", "poi")) and plans["road"].count("0.015625") <= 5
+    assert found["door"].count() == 53 and found["poi"].count() == 27
+    assert sorted(r.seq for r in found["road"].collect()) == [*range(51), 73, 74]
+
+
 def test_no_places_merge_into_none(spark):
     assert search.merge_points(spark.createDataFrame([], POINTS)).collect() == []
 

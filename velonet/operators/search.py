@@ -39,18 +39,19 @@ def cap_names(places: DataFrame, most: int = C.POINTS_PER_NAME) -> DataFrame:
 def merge_points(places: DataFrame, apart: float = 1e-4) -> DataFrame:
     """(name, kind, seq, lon, lat, notability): places of one (name, kind) within ``apart`` degrees on both axes of a kept one merge into it, in order of ``seq``.
 
-    A merged place goes to the first kept one in its reach, which takes the highest notability. Cells are so small that all within one merge. A
-    round keeps every cell's first open place that comes before those of the cells in reach, and closes what lies near it: no list of a name's
-    places is ever gathered, so one name may be as frequent as it likes. Equal ``seq`` go by coordinates; places without coordinates stay as they are.
+    A merged place goes to the first kept one in its reach, which takes the highest notability. Cells are a little wider than ``apart``, so what is
+    near lies in the same cell or one beside it. A round keeps every cell's first open place that comes before those of the cells around, and closes
+    what lies near it: no list of a name's places is ever gathered, so one name may be as frequent as it likes. Equal ``seq`` go by coordinates;
+    places without coordinates stay as they are.
     """
     known = F.coalesce((F.abs("lon") < 1e9) & (F.abs("lat") < 1e9), F.lit(False))
     text_of = lambda c: F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), c))
-    at = lambda c: F.floor(F.col(c) / F.lit(apart / 1.5)).cast("long")
+    at = lambda c: F.floor(F.col(c) / F.lit(apart * 1.01)).cast("long")
     columns = ["name", "kind", "seq", "lon", "lat", "notability"]
     key = ["_key", "_cx", "_cy"]
     points = places.filter(known).select(*columns, F.concat_ws("\0", text_of("name"), text_of("kind")).alias("_key"), at("lon").alias("_cx"), at("lat").alias("_cy"))
     points = cut_lineage(points.withColumn("_o", F.struct("seq", "lon", "lat", "notability")), "points")
-    step = F.sequence(F.lit(-2), F.lit(2))
+    step = F.sequence(F.lit(-1), F.lit(1))
     around = lambda df: df.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
     near = (F.abs(F.col("lon") - F.col("_k.lon")) < apart) & (F.abs(F.col("lat") - F.col("_k.lat")) < apart)
 
@@ -176,10 +177,14 @@ def index_tables(nodes: DataFrame, ways: DataFrame, areas: DataFrame, bounds=C.B
     at_node = nodes.select(F.lit(0).alias("_k"), "id", "lon", "lat", "tags")
     at_area = areas.filter(F.size("ring") > 0).select(F.lit(1).alias("_k"), "id", mean("lon").alias("lon"), mean("lat").alias("lat"), "tags")
     spots = at_node.unionByName(at_area).filter(geo.within("lon", "lat", bounds)).withColumn("seq", F.struct("_k", "id"))
+    # three tables and many conditions read the tags: written once and dealt out, they are neither worked out for each of them nor by the few tasks of a small file
+    spots = cut_lineage(spots.repartition("seq"), "spots")
     filled = lambda k: F.coalesce(t[k], F.lit("")) != ""
     door = spots.filter(filled("addr:street")).select("seq", t["addr:street"].alias("street"), F.coalesce(t["addr:housenumber"], F.lit("")).alias("number"), "lon", "lat")
-    road = ways.filter(filled("name") & tags.rideable(t) & (n > 0)).withColumn("_m", F.get("points", F.floor(n / 2).cast("int")))
-    road = road.select(F.col("id").alias("seq"), t["name"].alias("street"), F.col("_m.lon").alias("lon"), F.col("_m.lat").alias("lat")).filter(geo.within("lon", "lat", bounds))
+    middle = F.floor(n / 2).cast("int")
+    inside = F.exists(F.slice("points", middle + 1, 1), lambda p: geo.within(p["lon"], p["lat"], bounds))  # names the point once, however its way was made
+    road = ways.filter(filled("name") & tags.rideable(t) & (n > 0) & inside).withColumn("_m", F.get("points", middle))
+    road = road.select(F.col("id").alias("seq"), t["name"].alias("street"), F.col("_m.lon").alias("lon"), F.col("_m.lat").alias("lat"))
     district = spots.filter((F.col("_k") == 0) & t["place"].isin(*C.DISTRICTS) & filled("name")).select("seq", t["name"].alias("name"), t["place"].alias("kind"), "lon", "lat", F.lit(0).alias("notability"))
     poi = spots.withColumn("kind", tags.poi_kind(t)).filter("kind is not null")
     poi = poi.select("seq", F.explode(tags.names_of(t)).alias("name"), "kind", "lon", "lat", tags.notability(t).alias("notability"))
@@ -205,7 +210,7 @@ def build_index(nodes: DataFrame, ways: DataFrame, areas: DataFrame, bounds=C.BO
     entries = district.select(*columns, F.lit(2).alias("notability")).unionByName(poi.select(*columns, "notability"))
     rank = F.array_position(F.array(*map(F.lit, C.PLACE_KINDS)), F.col("kind")) - 1
     entries = entries.withColumns({"rank": rank.cast("int"), "_less": -F.col("notability")})
-    place = cut_lineage(number_rows(entries, ["rank", "_less", "name", "lon", "lat"], "place").drop("_less"), "place")
+    place = cut_lineage(number_rows(cut_lineage(entries, "entries"), ["rank", "_less", "name", "lon", "lat"], "place").drop("_less"), "place")
     return {"street": street.select("street_id", "street", "lon", "lat", "doors"), "door": door, "place": place_context(place, address).select("place", "name", "kind", "rank", "notability", "lon", "lat", "street")}
 
 
