@@ -62,6 +62,21 @@ def test_grid_join_equals_brute_force(spark):
     assert near == {p[0]: min(right, key=lambda q: (dist(p, q), q[0]))[0] for p in left}
 
 
+def test_a_pole_lists_no_more_cells_than_elsewhere(spark):
+    """Cells widen towards a pole, and beyond it, and the pairs are still those of brute force."""
+    rows = [(i, 24.9 + (i % 7) * 0.004, 89.9985 + (i // 7) * 0.00025) for i in range(84)]
+    dist = lambda p, q: math.hypot((q[1] - p[1]) * math.cos(math.radians((p[2] + q[2]) / 2)) * 111320, (q[2] - p[2]) * 110540)
+    assert spatial.listed(points(spark, rows), 30, 0.001).count() < 100 * len(rows)
+    got = {(r.id, r.other) for r in spatial.grid_join(points(spark, rows), points(spark, rows, "to_lon", "to_lat", "other"), 30, 0.001).collect()}
+    assert got == {(p[0], q[0]) for p in rows for q in rows if dist(p, q) <= 30}
+
+
+def test_a_long_chain_of_rivals_is_settled(spark):
+    """Each of 450 lights in a row waits for the one before: every other one stays."""
+    rows = spark.range(450).select(F.col("id").alias("node"), F.lit(24.9).alias("lon"), (F.lit(60.1) + F.col("id") * 0.0002).alias("lat"), F.array().cast("array<long>").alias("roads"))
+    assert sorted(r.node for r in signals.suppress_near(rows).collect()) == list(range(0, 450, 2))
+
+
 def test_seventy_two_metres_east_is_in_reach(spark):
     left = points(spark, [(1, 24.9418, 60.17)])
     right = points(spark, [(0, 24.9418, 60.17), (1, 24.9431, 60.17), (2, 24.9418, 60.1712)], "to_lon", "to_lat", "other")

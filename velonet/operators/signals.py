@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +23,42 @@ def crossing_signals(cycle_nodes: DataFrame, signals: DataFrame, reach: float =
     return met.filter(crosses("bearings", "road_bearings")).select("node").distinct()
 
 
-def suppress_near(candidates: DataFrame, within: float = C.SIGNAL_MERGE, max_rounds: int = 200) -> DataFrame:
+#: Degrees of a block within which rivals are settled one after another.
+BLOCK = 0.05
+
+
+def _settled(rows: pa.Table) -> pa.Table:
+    """(node, kept) of the nodes of a block that its own earlier ones settle; ``others`` are the open rivals, here or elsewhere."""
+    rows = rows.sort_by("node")
+    state: dict[int, bool | None] = {}
+    for node, others in zip(rows["node"].to_pylist(), rows["others"].to_pylist()):
+        known = [state.get(o) for o in others]
+        state[node] = False if True in known else None if None in known else True
+    done = {n: k for n, k in state.items() if k is not None}
+    return pa.table({"node": pa.array(done.keys(), pa.int64()), "kept": pa.array(done.values(), pa.bool_())})
+
+
+def suppress_near(candidates: DataFrame, within: float = C.SIGNAL_MERGE, max_rounds: int = 10_000) -> DataFrame:
     """Greedy in node order: a candidate (node, lon, lat, roads) goes if an earlier kept one lies nearer than
     ``within`` and they share a road (or either has none). (node) of those kept.
 
-    That is the lexicographically first independent set: each round keeps those without an undecided smaller
-    rival and drops their later rivals.
+    That is the lexicographically first independent set: each round keeps, block by block, those without an undecided smaller
+    rival and drops their later rivals, so there are as many rounds as a chain of rivals crosses blocks.
     """
     left = candidates.select("node", "lon", "lat", "roads")
     right = candidates.select(F.col("node").alias("other"), F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"), F.col("roads").alias("other_roads"))
     shared = F.arrays_overlap("roads", "other_roads") | (F.size("roads") == 0) | (F.size("other_roads") == 0)
     rivals = cut_lineage(grid_join(left, right, within, 0.001).filter((F.col("other") < F.col("node")) & (F.col("metres") < within) & shared).select("other", "node"), "rivals")
-    open_ = cut_lineage(candidates.select("node"), "open")
+    open_ = cut_lineage(candidates.select(F.col("node").cast("long").alias("node"), geo.cell("lon", BLOCK).alias("x"), geo.cell("lat", BLOCK).alias("y")), "open")
     kept = None
     for _ in range(max_rounds):
-        waits = rivals.join(open_.withColumnRenamed("node", "other"), "other", "left_semi").join(open_, "node", "left_semi")
-        now = cut_lineage(open_.join(waits.select("node").distinct(), "node", "left_anti"), "kept")
-        kept = now if kept is None else kept.unionByName(now)
-        gone = rivals.join(now.withColumnRenamed("node", "other"), "other", "left_semi").select("node")
-        open_ = cut_lineage(open_.join(now, "node", "left_anti").join(gone.distinct(), "node", "left_anti"), "open")
+        waits = rivals.join(open_.select(F.col("node").alias("other")), "other", "left_semi").groupBy("node").agg(F.collect_list("other").alias("others"))
+        rows = open_.join(waits, "node", "left").withColumn("others", F.coalesce("others", F.array().cast("array<long>")))
+        now = cut_lineage(rows.groupBy("x", "y").applyInArrow(_settled, "node long, kept boolean"), "settled")
+        own = now.filter("kept").select("node")
+        kept = own if kept is None else kept.unionByName(own)
+        gone = rivals.join(own.withColumnRenamed("node", "other"), "other", "left_semi").select("node")
+        open_ = cut_lineage(open_.join(now.select("node").unionByName(gone).distinct(), "node", "left_anti"), "open")
         if open_.isEmpty():
             return kept
     raise RuntimeError(f"undecided candidates after {max_rounds} rounds")

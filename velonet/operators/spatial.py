@@ -2,7 +2,8 @@
 
 A theta join on distance would compare everything with everything. Here each left row lists the
 cells its radius reaches, the right side is keyed by its own cell, and an equi-join on the cell
-leaves only neighbours to the exact test. In longitude the reach in cells widens with latitude.
+leaves only neighbours to the exact test. Cells widen in longitude as the reach does, up to the whole circle at a pole, so
+a row lists as few there as anywhere.
 """
 
 from __future__ import annotations
@@ -29,15 +30,30 @@ def reach_cells(lat: Column, radius_m: float, cell: float) -> tuple[Column, Colu
     return lon, F.ceil(F.lit(radius_m * 1.01 / (cell * C.METRES_LAT))).cast("int")
 
 
+def stretch(band: Column, cell: float) -> Column:
+    """How many cells of longitude are one in a band of latitude."""
+    low, high = band * cell, (band + 1) * cell
+    least = F.least(F.abs(F.cos(F.radians(low))), F.abs(F.cos(F.radians(high))))
+    whole = F.lit(max(1, int(360.0 / cell))).cast("long")
+    pole = ((low <= 90.0) & (high >= 90.0)) | ((low <= -90.0) & (high >= -90.0)) | (least * whole < 1)
+    return F.when(pole, whole).otherwise(F.floor(1.0 / least))
+
+
+def listed(left: DataFrame, radius_m: float, cell: float, at=("lon", "lat")) -> DataFrame:
+    """Each row once for every cell (_cx, _cy) that it reaches."""
+    lon_n, lat_n = reach_cells(F.col(at[1]), radius_m, cell)
+    bands = left.withColumns({"_n": lon_n, "_x": geo.cell(at[0], cell), "_cy": F.explode(F.sequence(geo.cell(at[1], cell) - lat_n, geo.cell(at[1], cell) + lat_n))})
+    bands = bands.withColumn("_w", stretch(F.col("_cy"), cell))
+    return bands.withColumn("_cx", F.explode(F.sequence(F.floor((F.col("_x") - F.col("_n")) / F.col("_w")), F.floor((F.col("_x") + F.col("_n")) / F.col("_w"))))).drop("_n", "_x", "_w")
+
+
 def grid_join(left: DataFrame, right: DataFrame, radius_m: float, cell: float, at=("lon", "lat"), to=("to_lon", "to_lat"), few: bool = False) -> DataFrame:
     """Pairs within ``radius_m``, with column ``metres``. ``at`` names the left coordinates, ``to`` the right ones.
 
     ``few`` right rows are sent to every task; left rows never are, as Spark takes them for as many as they were before they listed their cells.
     """
-    lon_n, lat_n = reach_cells(F.col(at[1]), radius_m, cell)
-    spread = left.withColumn("_dx", F.explode(F.sequence(-lon_n, lon_n))).withColumn("_dy", F.explode(F.sequence(-lat_n, lat_n)))
-    keyed = spread.withColumn("_cx", geo.cell(at[0], cell) + F.col("_dx")).withColumn("_cy", geo.cell(at[1], cell) + F.col("_dy")).drop("_dx", "_dy")
-    other = right.withColumn("_cx", geo.cell(to[0], cell)).withColumn("_cy", geo.cell(to[1], cell))
+    keyed = listed(left, radius_m, cell, at)
+    other = right.withColumn("_cy", geo.cell(to[1], cell)).withColumn("_cx", F.floor(geo.cell(to[0], cell) / stretch(F.col("_cy"), cell)))
     pairs = (keyed.join(F.broadcast(other), ["_cx", "_cy"]) if few else keyed.hint("merge").join(other, ["_cx", "_cy"])).drop("_cx", "_cy")
     return pairs.withColumn("metres", geo.distance_m(at[0], at[1], to[0], to[1])).filter(F.col("metres") <= radius_m)
 
