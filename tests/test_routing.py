@@ -357,3 +357,25 @@ def test_routes_of_equal_ends_are_shared(spark):
     assert sorted(map(tuple, leads.collect())) == [(3, 1, 2), (4, 1, 1), (9, 2, 1)]
     rows = spark.createDataFrame([(3, "x"), (3, "y"), (4, "z")], "pair long, v string")
     assert sorted(map(tuple, routing.for_all(rows, members).collect())) == [(3, "x"), (3, "y"), (4, "z"), (5, "x"), (5, "y")]
+
+
+def test_goals_of_a_block_share_their_searches(spark):
+    """By blocks of any size, all pairs of a grid have the routes of single searches, empty and missing ones included."""
+    import numpy as np
+
+    states = routing.priced(*build(spark, GRID, random_grid(11)), K.CostModel(), K.Taste())
+    graph, _ = routing.load(states, build(spark, GRID, random_grid(11))[1], K.CostModel(), K.Taste())
+    for many in (1, 3, 5, 16):
+        block = graph.blocks(many)
+        assert len(set(block.tolist())) >= many and np.bincount(block).max() <= -(-16 // many) + 1
+        for number in set(block.tolist()):
+            pairs = [(a, b) for a in range(16) for b in np.flatnonzero(block == number).tolist() if a != b]
+            pair, state = graph.to_goals(pairs, block)
+            for k, (a, b) in enumerate(pairs):
+                best, came, last = graph.search(a, b)
+                got = state[pair == k].tolist()
+                assert bool(got) == (last >= 0)
+                if got:  # joined end to end, and as cheap
+                    assert int(graph.head[got[-1]]) == b and graph.first[a] <= got[0] < graph.first[a + 1]
+                    cost = float(graph.edge_search[got[0]]) + sum(dict(graph._leaving(s, False))[n] for s, n in zip(got, got[1:]))
+                    assert abs(cost - best[last]) < 1e-9

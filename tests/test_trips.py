@@ -49,3 +49,16 @@ def test_equal_ends_have_equal_routes(spark):
     for r in paths.collect():
         got.setdefault(r.pair, []).append((r["rank"], r.pos, r.state, r.swing))
     assert sorted(got[0]) == sorted(got[1]) == sorted(got[3]) and sorted(got[4]) == sorted(got[5]) == [(1, -1, -1, 0.0)]
+
+
+def test_found_routes_are_never_broadcast(spark):
+    """Spark takes the edges of routes for as few as their ends: neither for unique nor for equal ends may they be sent to the driver."""
+    from velonet.functions import cost as K
+    from velonet.operators import routing
+
+    edges, nodes = build(spark, GRID, random_grid(3))
+    states = routing.priced(edges, nodes, K.CostModel(), K.Taste())
+    graph, metres = routing.load(states, nodes, K.CostModel(), K.Taste())
+    for rows in ([(0, 0, 15), (1, 3, 12)], [(0, 0, 15), (1, 0, 15), (2, 3, 12)]):
+        found = routing.routes(graph, metres, spark.createDataFrame(rows, "pair long, start long, goal long"))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and {r.pair for r in found.collect()} == {r[0] for r in rows}
