@@ -52,3 +52,23 @@ def test_trips_without_a_pair_may_be_left_out(spark):
     whole = {r.trip: tuple(r) for r in demand.trips(ids, table(spark), table(spark), span=(500.0, 600.0)).collect()}
     some = {r.trip: tuple(r) for r in demand.trips(ids, table(spark), table(spark), span=(500.0, 600.0), max_rounds=1, all_found=False).collect()}
     assert 0 < len(some) < len(whole) == 200 and all(whole[t] == row for t, row in some.items())
+
+
+def test_only_draws_that_may_span_are_looked_up(spark, monkeypatch):
+    """Draws whose stretches lie too far apart meet no share, and the trips are those of looking up all."""
+    from pyspark.sql import functions as F
+
+    # across the pole, too: a row there stands where the one beside it does
+    places = spark.range(4000).select(F.col("id").alias("node"), (24.9 + (F.col("id") % 20) * 0.002).alias("lon"), (89.9 + F.floor(F.col("id") / 20) * 0.001).alias("lat"), (1 + F.col("id") % 3).alias("weight"))
+    ids, seen, pick = spark.range(400).withColumnRenamed("id", "trip"), [], demand.pick
+
+    def counted(draws, *args):
+        seen.append(draws.count())
+        return pick(draws, *args)
+
+    monkeypatch.setattr(demand, "pick", counted)
+    got = {r.trip: tuple(r) for r in demand.trips(ids, places, places, span=(300.0, 1_500.0), max_rounds=1, all_found=False).collect()}
+    assert seen[0] < 400 * demand.ATTEMPTS / 4
+    monkeypatch.setattr(demand, "_apart", lambda: F.lit(0.0))
+    whole = {r.trip: tuple(r) for r in demand.trips(ids, places, places, span=(300.0, 1_500.0), max_rounds=1, all_found=False).collect()}
+    assert got == whole and 50 < len(got) < 400
